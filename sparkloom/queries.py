@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from sparkloom import queries_records
+
+MODULES = (queries_records,)
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
