@@ -5,7 +5,8 @@
 2. Each component is brought into one task, many per task, and traversed depth first with node colouring; a link to
    a grey node is a back edge and closes a circle.
 3. Components of more than ``MAX_COMPONENT`` nodes are never gathered: their depths and paths are taken from the
-   doubling itself.
+   doubling itself. What all circular nodes point to after its last round are the members of the circles; a second
+   doubling, over each circle cut open at its smallest id, counts their positions.
 Each round is checkpointed in the shared folder, so lost executors cost a round's tasks and no more.
 """
 
@@ -49,11 +50,12 @@ def links_of(rows: DataFrame, key: str, order: str, relations: dict[str, str]) -
     return durable(both.groupBy("relation", "id").agg(F.max("parent").alias("parent")))
 
 
-def _double(nodes: DataFrame, trail: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(resolved, circular) by pointer doubling over relation, id, parent.
+def _double(nodes: DataFrame, trail: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(resolved, circular, members) by pointer doubling over relation, id, parent.
 
     resolved: relation, id, ptr (the root), dist, trail; circular: the same with ptr the smallest id of the circle
-    and dist -1. With ``trail`` each row holds the ids from itself to below its root, else an empty array.
+    and dist -1; members: relation, id of those on a circle. With ``trail``, for ``nodes`` without circles only, each
+    row holds the ids from itself to below its root, else an empty array.
     """
     own = F.array("id") if trail else F.array().cast("array<string>")
     start = nodes.select(
@@ -80,14 +82,28 @@ def _double(nodes: DataFrame, trail: bool = False) -> tuple[DataFrame, DataFrame
     ends = active.select("relation", F.col("id").alias("ptr"), F.col("least").alias("m2"))
     circular = lookup(active, ends, ["relation", "ptr"], "inner") if left else active.withColumn("m2", F.col("least"))
     circular = circular.select("relation", "id", F.col("m2").alias("ptr"), F.lit(-1).cast("long").alias("dist"), F.array().cast("array<string>").alias("trail"))
-    return resolved.select("relation", "id", "ptr", "dist", "trail"), circular
+    members = active.select("relation", F.col("ptr").alias("id")).distinct()
+    return resolved.select("relation", "id", "ptr", "dist", "trail"), circular, members
 
 
-def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, list[str], list[str]]]:
-    """(id, root, depth, path, circle) of every node, depth first from the roots with node colouring.
+def _positions(links: DataFrame, members: DataFrame) -> DataFrame:
+    """relation, id, comp (the smallest id of the circle), position (from it on along the links) of circle members.
+
+    ``links`` (relation, id, parent) holds all links, ``members`` (relation, id, comp) those on a circle.
+    """
+    ring = durable(lookup(members, links, ["relation", "id"], "inner").select("relation", "id", "comp", "parent"))
+    steps, _, _ = _double(ring.select("relation", "id", F.when(F.col("id") != F.col("comp"), F.col("parent")).alias("parent")))
+    steps = durable(steps.select("relation", "id", F.col("ptr").alias("comp"), "dist"))
+    sizes = steps.groupBy("relation", "comp").agg(F.count(F.lit(1)).alias("n"))
+    place = ((F.col("n") - F.col("dist")) % F.col("n")).alias("position")
+    return lookup(steps, sizes, ["relation", "comp"], "inner").select("relation", "id", "comp", place)
+
+
+def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, list[str], int | None]]:
+    """(id, root, depth, path, position) of every node, depth first from the roots with node colouring.
 
     path runs from the root to the node. What no root reaches lies on a circle or leads into one: depth -1, root the
-    smallest id of the circle, path empty and circle its ids, from the smallest on along the links, for its members.
+    smallest id of the circle, path empty and position, for its members, counted from the smallest id along the links.
     """
     up = dict(zip(ids, parents))
     below: dict[str, list[str]] = {}
@@ -104,9 +120,9 @@ def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str,
             del path[depth:]
             path.append(node)
             black.add(node)
-            out.append((node, root, depth, list(path), []))
+            out.append((node, root, depth, list(path), None))
             todo += [(c, depth + 1) for c in below.get(node, ())]
-    end: dict[str, tuple[str, list[str]]] = {}
+    end: dict[str, tuple[str, int | None]] = {}
     for begin in up:
         if begin in black or begin in end:
             continue
@@ -119,23 +135,23 @@ def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str,
             members = list(grey)[grey[node] :]
             least = members.index(min(members))
             members = members[least:] + members[:least]
-            for m in members:
-                end[m] = (members[0], members)
+            for n, m in enumerate(members):
+                end[m] = (members[0], n)
         least_id = end[node][0]
         for g in grey:
-            end.setdefault(g, (least_id, []))
-    out += [(i, r, -1, [], c) for i, (r, c) in end.items()]
+            end.setdefault(g, (least_id, None))
+    out += [(i, r, -1, [], n) for i, (r, n) in end.items()]
     return out
 
 
 def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """relation, record_id, root_record_id, depth, path, circle of every node of ``links`` (relation, id, parent).
+    """relation, record_id, root_record_id, depth, path, position of every node of ``links`` (relation, id, parent).
 
     depth is -1 for nodes on a circle or leading into one; their root is the smallest id on the circle. path (from
-    the root to the node) and circle (the members, for those on one, in link order) are filled with ``detail`` only.
-    In a component above ``max_component`` nodes circle stays empty and membership is told by root alone.
+    the root to the node) and position (of the members of a circle, in link order from the smallest id on, else null)
+    are filled with ``detail`` only. Components above ``max_component`` nodes are not gathered and come out alike.
     """
-    resolved, circular = _double(links)
+    resolved, circular, members = _double(links)
     label = durable(resolved.unionByName(circular).select("relation", "id", F.col("ptr").alias("comp"), "dist"))
     sizes = label.groupBy("relation", "comp").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > max_component).select("relation", "comp")
@@ -143,14 +159,14 @@ def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_C
         small, big = lookup(label, large, ["relation", "comp"], "left_anti"), lookup(label, large, ["relation", "comp"], "left_semi")
     else:
         small, big = label, None
-    schema = "relation string, record_id string, root_record_id string, depth long, path array<string>, circle array<string>"
+    schema = "relation string, record_id string, root_record_id string, depth long, path array<string>, position long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
         def flush() -> pd.DataFrame:
             done = [(held[0][0], *t[:3], t[3] if detail else None, t[4] if detail else None) for t in traverse([h[2] for h in held], [h[3] for h in held])]
-            return pd.DataFrame(done, columns=["relation", "record_id", "root_record_id", "depth", "path", "circle"])
+            return pd.DataFrame(done, columns=["relation", "record_id", "root_record_id", "depth", "path", "position"]).astype({"position": "Int64"})
 
         parts: list[pd.DataFrame] = []
         count = 0
@@ -173,14 +189,25 @@ def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_C
     out = placed.repartition("relation", "comp").sortWithinPartitions("relation", "comp").mapInPandas(run, schema)
     if big is None:
         return out
-    empty = F.lit(None).cast("array<string>")
     if not detail:
-        rest = big.select("relation", F.col("id").alias("record_id"), F.col("comp").alias("root_record_id"), F.col("dist").alias("depth"), empty.alias("path"), empty.alias("circle"))
+        rest = big.select(
+            "relation", F.col("id").alias("record_id"), F.col("comp").alias("root_record_id"), F.col("dist").alias("depth"),
+            F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("position"),
+        )
         return out.unionByName(rest)
-    far, rings = _double(big.join(links, ["relation", "id"]).select("relation", "id", "parent"), trail=True)
-    path = F.when(F.col("dist") < 0, F.array().cast("array<string>")).otherwise(F.concat(F.array("ptr"), F.reverse("trail")))
-    rest = far.unionByName(rings).select("relation", F.col("id").alias("record_id"), F.col("ptr").alias("root_record_id"), F.col("dist").alias("depth"), path.alias("path"), F.array().cast("array<string>").alias("circle"))
-    return out.unionByName(rest)
+    straight = lookup(big.where(F.col("dist") >= 0).drop("comp", "dist"), links, ["relation", "id"], "inner")
+    far, _, _ = _double(straight.select("relation", "id", "parent"), trail=True)
+    rest = far.select(
+        "relation", F.col("id").alias("record_id"), F.col("ptr").alias("root_record_id"), F.col("dist").alias("depth"),
+        F.concat(F.array("ptr"), F.reverse("trail")).alias("path"), F.lit(None).cast("long").alias("position"),
+    )
+    led = big.where(F.col("dist") < 0).select("relation", "id", "comp")
+    spots = _positions(links, lookup(led, members, ["relation", "id"], "left_semi")).drop("comp")
+    rings = lookup(led, spots, ["relation", "id"]).select(
+        "relation", F.col("id").alias("record_id"), F.col("comp").alias("root_record_id"), F.lit(-1).cast("long").alias("depth"),
+        F.array().cast("array<string>").alias("path"), "position",
+    )
+    return out.unionByName(rest).unionByName(rings)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -191,5 +218,4 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 def circles(tree: DataFrame) -> DataFrame:
     """relation, root_record_id, position, record_id: the members of each circle in link order (from a detailed hierarchy)."""
-    one = tree.where((F.col("depth") == -1) & (F.col("record_id") == F.col("root_record_id")))
-    return one.select("relation", "root_record_id", F.posexplode("circle").alias("position", "record_id"))
+    return tree.where(F.col("position").isNotNull()).select("relation", "root_record_id", "position", "record_id")
