@@ -99,56 +99,56 @@ def _positions(links: DataFrame, members: DataFrame) -> DataFrame:
     return lookup(steps, sizes, ["relation", "comp"], "inner").select("relation", "id", "comp", place)
 
 
-def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, list[str], int | None]]:
-    """(id, root, depth, path, position) of every node, depth first from the roots with node colouring.
+def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, list[str], int | None, list[str]]]:
+    """(id, root, depth, path, position, branch) of every node, depth first from the roots with node colouring.
 
     path runs from the root to the node. What no root reaches lies on a circle or leads into one: depth -1, root the
-    smallest id of the circle, path empty and position, for its members, counted from the smallest id along the links.
+    smallest id of the circle, path empty. Members of the circle have a position, counted from the smallest id along
+    the links; the others have a branch, from the member they hang below to the node.
     """
     up = dict(zip(ids, parents))
     below: dict[str, list[str]] = {}
     for i, p in up.items():
         if p is not None:
             below.setdefault(p, []).append(i)
-    out: list[tuple] = []
+    rings: dict[str, tuple[str, int]] = {}
     black: set[str] = set()
-    for root in (i for i, p in up.items() if p is None):
-        path: list[str] = []
-        todo = [(root, 0)]
-        while todo:
-            node, depth = todo.pop()
-            del path[depth:]
-            path.append(node)
-            black.add(node)
-            out.append((node, root, depth, list(path), None))
-            todo += [(c, depth + 1) for c in below.get(node, ())]
-    end: dict[str, tuple[str, int | None]] = {}
     for begin in up:
-        if begin in black or begin in end:
-            continue
         grey: dict[str, int] = {}
-        node = begin
-        while node not in grey and node not in end:
+        node: str | None = begin
+        while node is not None and node not in grey and node not in black:
             grey[node] = len(grey)
             node = up[node]
         if node in grey:  # a back edge
             members = list(grey)[grey[node] :]
             least = members.index(min(members))
-            members = members[least:] + members[:least]
-            for n, m in enumerate(members):
-                end[m] = (members[0], n)
-        least_id = end[node][0]
-        for g in grey:
-            end.setdefault(g, (least_id, None))
-    out += [(i, r, -1, [], n) for i, (r, n) in end.items()]
+            for n, m in enumerate(members[least:] + members[:least]):
+                rings[m] = (members[least], n)
+        black.update(grey)
+    out: list[tuple] = []
+    for root in (i for i, p in up.items() if p is None or i in rings):
+        path: list[str] = []
+        todo = [(root, 0)]
+        while todo:
+            node, depth = todo.pop()
+            del path[depth:]
+            path.append(node)
+            if root not in rings:
+                out.append((node, root, depth, list(path), None, []))
+            elif depth:
+                out.append((node, rings[root][0], -1, [], None, list(path)))
+            else:
+                out.append((node, rings[root][0], -1, [], rings[root][1], []))
+            todo += [(c, depth + 1) for c in below.get(node, ()) if c not in rings]
     return out
 
 
 def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """relation, record_id, root_record_id, depth, path, position of every node of ``links`` (relation, id, parent).
+    """relation, record_id, root_record_id, depth, path, position, branch of every node of ``links`` (relation, id, parent).
 
     depth is -1 for nodes on a circle or leading into one; their root is the smallest id on the circle. path (from
-    the root to the node) and position (of the members of a circle, in link order from the smallest id on, else null)
+    the root to the node), position (of the members of a circle, in link order from the smallest id on, else null) and
+    branch (of nodes leading into a circle: from the member they hang below to the node, no link of the circle in it)
     are filled with ``detail`` only. Components above ``max_component`` nodes are not gathered and come out alike.
     """
     resolved, circular, members = _double(links)
@@ -159,14 +159,14 @@ def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_C
         small, big = lookup(label, large, ["relation", "comp"], "left_anti"), lookup(label, large, ["relation", "comp"], "left_semi")
     else:
         small, big = label, None
-    schema = "relation string, record_id string, root_record_id string, depth long, path array<string>, position long"
+    schema = "relation string, record_id string, root_record_id string, depth long, path array<string>, position long, branch array<string>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
         def flush() -> pd.DataFrame:
-            done = [(held[0][0], *t[:3], t[3] if detail else None, t[4] if detail else None) for t in traverse([h[2] for h in held], [h[3] for h in held])]
-            return pd.DataFrame(done, columns=["relation", "record_id", "root_record_id", "depth", "path", "position"]).astype({"position": "Int64"})
+            done = [(held[0][0], *t[:3], *(t[3:] if detail else (None, None, None))) for t in traverse([h[2] for h in held], [h[3] for h in held])]
+            return pd.DataFrame(done, columns=["relation", "record_id", "root_record_id", "depth", "path", "position", "branch"]).astype({"position": "Int64"})
 
         parts: list[pd.DataFrame] = []
         count = 0
@@ -192,28 +192,31 @@ def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_C
     if not detail:
         rest = big.select(
             "relation", F.col("id").alias("record_id"), F.col("comp").alias("root_record_id"), F.col("dist").alias("depth"),
-            F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("position"),
+            F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("array<string>").alias("branch"),
         )
         return out.unionByName(rest)
-    straight = lookup(big.where(F.col("dist") >= 0).drop("comp", "dist"), links, ["relation", "id"], "inner")
-    far, _, _ = _double(straight.select("relation", "id", "parent"), trail=True)
-    rest = far.select(
-        "relation", F.col("id").alias("record_id"), F.col("ptr").alias("root_record_id"), F.col("dist").alias("depth"),
-        F.concat(F.array("ptr"), F.reverse("trail")).alias("path"), F.lit(None).cast("long").alias("position"),
-    )
     led = big.where(F.col("dist") < 0).select("relation", "id", "comp")
-    spots = _positions(links, lookup(led, members, ["relation", "id"], "left_semi")).drop("comp")
-    rings = lookup(led, spots, ["relation", "id"]).select(
-        "relation", F.col("id").alias("record_id"), F.col("comp").alias("root_record_id"), F.lit(-1).cast("long").alias("depth"),
-        F.array().cast("array<string>").alias("path"), "position",
+    spots = durable(_positions(links, lookup(led, members, ["relation", "id"], "left_semi")).drop("comp"))
+    opened = lookup(lookup(big, links, ["relation", "id"], "inner"), spots, ["relation", "id"])
+    far, _, _ = _double(opened.select("relation", "id", F.when(F.col("position").isNull(), F.col("parent")).alias("parent")), trail=True)
+    down, none, straight = F.concat(F.array("ptr"), F.reverse("trail")), F.array().cast("array<string>"), F.col("l.dist") >= 0
+    rest = far.alias("f").join(opened.select("relation", "id", "comp", F.col("dist"), "position").alias("l"), ["relation", "id"]).select(
+        "relation", F.col("id").alias("record_id"), F.col("comp").alias("root_record_id"), F.col("l.dist").alias("depth"),
+        F.when(straight, down).otherwise(none).alias("path"), "position",
+        F.when(~straight & F.col("position").isNull(), down).otherwise(none).alias("branch"),
     )
-    return out.unionByName(rest).unionByName(rings)
+    return out.unionByName(rest)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """relation, record_id, descendant_id, distance: every pair of a node and one below it (from a detailed hierarchy)."""
-    pairs = tree.where(F.col("depth") > 0).select("relation", "record_id", "depth", F.posexplode(F.expr("slice(path, 1, CAST(depth AS INT))")).alias("at", "above"))
-    return pairs.select("relation", F.col("above").alias("record_id"), F.col("record_id").alias("descendant_id"), (F.col("depth") - F.col("at")).alias("distance"))
+    """relation, record_id, descendant_id, distance: every pair of a node and one below it (from a detailed hierarchy).
+
+    Links of a circle are reported by ``circles`` and not followed: two members of a circle are no pair, and a record
+    below one member is no descendant of the others.
+    """
+    lines = tree.withColumn("line", F.when(F.col("depth") < 0, F.col("branch")).otherwise(F.col("path"))).withColumn("far", F.size("line") - 1)
+    pairs = lines.where(F.col("far") > 0).select("relation", "record_id", "far", F.posexplode(F.expr("slice(line, 1, far)")).alias("at", "above"))
+    return pairs.select("relation", F.col("above").alias("record_id"), F.col("record_id").alias("descendant_id"), (F.col("far") - F.col("at")).cast("long").alias("distance"))
 
 
 def circles(tree: DataFrame) -> DataFrame:

@@ -54,7 +54,13 @@ def p5_paths(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, base: str) -> DataFrame:
-    return H.descendants(H.hierarchy(_links(spark, base), detail=True))
+    """The pairs of the trees that end in a root; p5_circle_descendants has the others."""
+    return H.descendants(H.hierarchy(_links(spark, base), detail=True).where(F.col("depth") >= 0))
+
+
+def p5_circle_descendants(spark: SparkSession, base: str) -> DataFrame:
+    """The pairs of the trees that hang below a member of a circle."""
+    return H.descendants(H.hierarchy(_links(spark, base), detail=True).where(F.col("depth") < 0))
 
 
 def p5_circles(spark: SparkSession, base: str) -> DataFrame:
@@ -82,12 +88,20 @@ final AS (
   FROM walk w WHERE ring OR NOT EXISTS (SELECT 1 FROM link l WHERE l.relation = w.relation AND l.id = w.cur))
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_schema, p4_checks, p5_found, p5_paths, p5_descendants, p5_circles)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_schema, p4_checks, p5_found, p5_paths, p5_descendants, p5_circle_descendants, p5_circles)}
 ORACLE = {
     "p5_found": _WALK + "SELECT relation, record_id, root_record_id, CAST(depth AS BIGINT) AS depth FROM final",
     "p5_paths": _WALK + "SELECT relation, record_id, array_to_string(path, '/') AS path FROM final",
     "p5_descendants": _WALK
     + "SELECT relation, path[k] AS record_id, record_id AS descendant_id, CAST(depth + 1 - k AS BIGINT) AS distance FROM final, unnest(range(1, depth + 1)) AS t(k) WHERE depth > 0",
+    "p5_circle_descendants": _WALK
+    + """, member AS (SELECT relation, record_id AS id FROM final f WHERE ring AND EXISTS (SELECT 1 FROM link l WHERE l.relation = f.relation AND l.parent = f.record_id AND list_contains(f.seen, l.id))),
+line AS (
+  SELECT relation, record_id AS id, record_id AS cur, 0 AS n FROM final WHERE ring
+  UNION ALL
+  SELECT w.relation, w.id, l.parent, n + 1 FROM line w JOIN link l ON l.relation = w.relation AND l.id = w.cur
+  WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.relation = w.relation AND m.id = w.cur))
+SELECT relation, cur AS record_id, id AS descendant_id, CAST(n AS BIGINT) AS distance FROM line WHERE n > 0""",
     "p5_circles": _WALK
     + """, r AS (SELECT relation, root_record_id, seen FROM final WHERE ring AND record_id = root_record_id)
 SELECT relation, root_record_id, CAST(k - 1 AS BIGINT) AS position, seen[k] AS record_id FROM r, unnest(range(1, len(seen) + 1)) AS t(k)""",

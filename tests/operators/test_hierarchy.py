@@ -38,3 +38,13 @@ def test_circular_rows_carry_no_trail(spark, monkeypatch):
     monkeypatch.setattr(H, "_double", watched)
     H.hierarchy(spark.createDataFrame(ROWS, LINKS), detail=True, max_component=1).count()
     assert [n for trail, n in asked if trail] == [0]
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_descendants_below_circles(spark, most):
+    tree = H.hierarchy(spark.createDataFrame(ROWS[:16], LINKS), detail=True, max_component=most)
+    got = {(r.record_id, r.descendant_id, r.distance) for r in H.descendants(tree).collect()}
+    straight = {("t0", "t1", 1), ("t0", "t2", 2), ("t1", "t2", 1), ("t0", "t3", 2), ("t1", "t3", 1), ("t0", "t4", 3), ("t1", "t4", 2), ("t3", "t4", 1)}
+    # no pair of two members, none of a member and what hangs below another
+    led = {("c", "u", 1), ("c", "v", 2), ("u", "v", 1), ("c", "w", 3), ("u", "w", 2), ("v", "w", 1), ("c", "x", 3), ("u", "x", 2), ("v", "x", 1), ("a", "y", 1), ("s", "z", 1)}
+    assert got == straight | led
