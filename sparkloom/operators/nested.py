@@ -186,8 +186,8 @@ def merged_schema(objects: DataFrame) -> DataFrame:
     return bits.select("table_path", "attribute", name.alias("type"), "n_objects", "n_null")
 
 
-def child_tables(objects: DataFrame, max_columns: int = 2000) -> dict[str, DataFrame]:
-    """A flat table for each table_path: row_key, parent_path, object_path, ordinal and its typed attributes.
+def child_tables(objects: DataFrame, max_columns: int = 2000, also: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """A flat table for each table_path: ``also``, row_key, parent_path, object_path, ordinal and its typed attributes.
 
     The merged schema is read to the driver: its size is that of the schema, not of the data, and more than
     ``max_columns`` attributes (data used as member names) is an error.
@@ -204,5 +204,5 @@ def child_tables(objects: DataFrame, max_columns: int = 2000) -> dict[str, DataF
         else:
             v = v.cast(c.type)
         by[c.table_path].append(v.alias(f"a_{c.attribute}"))
-    link = ["row_key", "parent_path", "object_path", "ordinal"]
+    link = [*also, "row_key", "parent_path", "object_path", "ordinal"]
     return {p: objects.where(F.col("table_path") == p).select(*link, *cols).distinct() for p, cols in by.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p4_schema(spark: SparkSession, base: str) -> DataFrame:
     parts = [
-        nested.merged_schema(nested.nested_objects(table(spark, base, t).select(k, f).distinct(), k, f, MEMBERS)).withColumn("source_table", F.lit(t)) for t, (k, f) in FIELDS.items()
+        nested.merged_schema(nested.nested_objects(table(spark, base, t).select(k, f).distinct(), k, f, MEMBERS, root_row=True)).withColumn("source_table", F.lit(t)) for t, (k, f) in FIELDS.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -40,6 +42,32 @@ def p4_checks(spark: SparkSession, base: str) -> DataFrame:
     return part.select("row_key", "parent_path", "object_path", "ordinal", name.alias("name"), a["passed"].cast("boolean").alias("passed")).distinct()
 
 
+def _flat(objects: DataFrame, name: str) -> DataFrame:
+    named = objects.withColumn("table_path", F.lit(name))
+    found = nested.child_tables(named, also=("source_table",))
+    return found[name] if name in found else named.select("source_table", "row_key", "parent_path", "object_path", "ordinal")
+
+
+def _root_table(source: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, base: str) -> DataFrame:
+        k, f = FIELDS[source]
+        objects = nested.nested_objects(table(spark, base, source), k, f, MEMBERS, root_row=True).withColumn("source_table", F.lit(source))
+        return _flat(objects.where(F.col("table_path") == "$"), source)
+
+    return run
+
+
+def _member_table(member: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, base: str) -> DataFrame:
+        return _flat(_objects(spark, base, True).where(F.substring_index("table_path", ".", -1) == member), member)
+
+    return run
+
+
+#: A flat table of the records of each source and of the elements of each member, wherever they stand.
+TABLES = {f"p4_table_{t}": _root_table(t) for t in FIELDS} | {f"p4_table_{m}": _member_table(m) for m in MEMBERS}
+
+
 def _links(spark: SparkSession, base: str) -> DataFrame:
     return H.links_of(table(spark, base, "agent_memory_records"), "record_id", "updated_at", RELATIONS)
 
@@ -88,7 +116,7 @@ final AS (
   FROM walk w WHERE ring OR NOT EXISTS (SELECT 1 FROM link l WHERE l.relation = w.relation AND l.id = w.cur))
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_schema, p4_checks, p5_found, p5_paths, p5_descendants, p5_circle_descendants, p5_circles)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_schema, p4_checks, p5_found, p5_paths, p5_descendants, p5_circle_descendants, p5_circles)} | TABLES
 ORACLE = {
     "p5_found": _WALK + "SELECT relation, record_id, root_record_id, CAST(depth AS BIGINT) AS depth FROM final",
     "p5_paths": _WALK + "SELECT relation, record_id, array_to_string(path, '/') AS path FROM final",
