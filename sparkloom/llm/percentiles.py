@@ -8,12 +8,15 @@ partitions combine by one sum; a sketch of a group has at most a few thousand bu
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RELATIVE_ERROR = 0.01
+#: The bucket of the infinite values of a sign.
+INFINITE = 2**31 - 1
 
 
 def _log_gamma(error: float) -> float:
@@ -21,21 +24,21 @@ def _log_gamma(error: float) -> float:
 
 
 def bucket_of(value: Column, error: float = RELATIVE_ERROR) -> Column:
-    """The bucket number of |value|; null for 0."""
-    return F.ceil(F.log(F.abs(value)) / F.lit(_log_gamma(error))).cast("int")
+    """The bucket number of |value|; null for 0, INFINITE for an infinite one."""
+    return F.when(F.abs(value) == float("inf"), F.lit(INFINITE)).otherwise(F.ceil(F.log(F.abs(value)) / F.lit(_log_gamma(error))).cast("int"))
 
 
 def sketch(df: DataFrame, groups: list[str], value: str, error: float = RELATIVE_ERROR) -> DataFrame:
     """``groups``, sign (-1, 0, 1), bucket, n: the sketch of each group.
 
-    Null, NaN and infinite values aren't counted. A group without a value has no row. Partial counts are made before
+    Null and NaN aren't counted; infinite values have a bucket of their own at each end. A group without a value has no row. Partial counts are made before
     the shuffle, so what moves is buckets and a hot group costs no more than any other.
     """
     v = F.col(f"`{value}`").cast("double")
     sign = F.signum(v).cast("int")
     bucket = F.when(v == 0, F.lit(0)).otherwise(bucket_of(v, error))
     return (
-        df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*[F.col(f"`{g}`") for g in groups], sign.alias("sign"), bucket.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -55,9 +58,15 @@ def _ordered(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def rank_of(total: Column, share: float) -> Column:
-    """The least rank at which at least ``share`` of ``total`` values are reached; 1 for a share of 0."""
-    whole = round(share * 10_000)
-    return F.greatest(F.lit(1), F.ceil(total * F.lit(whole) / F.lit(10_000)))
+    """The least rank at which at least ``share`` of ``total`` values are reached; 1 for a share of 0.
+
+    Counted in whole numbers from the share as written; one of more than 9 decimals is an error.
+    """
+    part = Fraction(str(share))
+    if not 0 <= part <= 1 or part.denominator > 10**9:
+        raise ValueError(f"share {share}")
+    a, b = part.numerator, part.denominator
+    return F.greatest(F.lit(1).cast("long"), F.call_function("div", total.cast("long") * F.lit(a).cast("long") + F.lit(b - 1).cast("long"), F.lit(b).cast("long")))
 
 
 def bucket_at(sketches: DataFrame, groups: list[str], share: float) -> DataFrame:
