@@ -31,3 +31,19 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     part = left.join(F.broadcast(marks), keys, "left_semi")
     few = right.join(F.broadcast(marks), keys, "left_semi")
     return rest.join(right, keys, how).unionByName(part.join(F.broadcast(few), keys, how))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], pieces: int = 32) -> DataFrame:
+    """The inner join of two sides that may both hold a key many times.
+
+    Keys that are hot on the left (fewer than HOT_ONE_IN of them) are cut into ``pieces``: each of their left rows goes to
+    one piece by its own hash, each of their right rows to all pieces. No key then meets in one task alone.
+    """
+    hot = [tuple(r) for r in hot_keys(left.select(*keys), keys).collect()]  # fewer than HOT_ONE_IN rows
+    if not hot:
+        return left.join(right, keys)
+    marks = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
+    rest = left.join(marks, keys, "left_anti").join(right, keys)
+    part = left.join(marks, keys, "left_semi").withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.lit(pieces)))
+    every = right.join(marks, keys, "left_semi").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+    return rest.unionByName(part.join(every, [*keys, "_piece"]).drop("_piece"))
