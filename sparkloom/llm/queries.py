@@ -5,10 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chunking, leakage, percentiles, tokenizer
+from sparkloom.llm import chunking, leakage, overlaps, percentiles, similar, tokenizer
 from sparkloom.sources.tables import table
 
 
+# --- 1: most similar vectors -----------------------------------------------------------------------------------------
+#: Neighbours of each record, and the similarity below which a record counts as unlike.
+NEIGHBOURS, LIKE = 5, 0.8
+
+
+def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """space, n, id, neighbour, similarity: the five most similar records of each, of similarity 0.8 or more."""
+    rows = table(spark, base, "agent_memory_embeddings")
+    usable = similar.vectors(rows, "record_id", "embedding", "embedding_space_id", "dimension", "created_at")
+    return similar.most_similar(usable, NEIGHBOURS, LIKE)
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    near = p1_neighbours(spark, base)
+    return near.select(F.least("id", "neighbour").alias("record_id_a"), F.greatest("id", "neighbour").alias("record_id_b")).distinct()
+
+
+# --- 2: overlaps across splits ---------------------------------------------------------------------------------------
+def _overlaps(spark: SparkSession, base: str) -> DataFrame:
+    return overlaps.overlaps(table(spark, base, "laya_candidates"), table(spark, base, "laya_dataset_assignments"))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return _overlaps(spark, base).select("snapshot_id", F.least("eval_id", "train_id").alias("candidate_id_a"), F.greatest("eval_id", "train_id").alias("candidate_id_b")).distinct()
+
+
+def p2_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Overlapping pairs and evaluation candidates for each split and repository scope."""
+    met = _overlaps(spark, base).groupBy("split_name", F.col("scope").alias("repository_scope"), "snapshot_id", "eval_id").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("split_name", "repository_scope").agg(F.sum("n").alias("n_pairs"), F.count_distinct("eval_id").alias("n_candidates"))
+
+
 # --- 6: pieces of oversized texts -----------------------------------------------------------------------------------
 def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     return chunking.split_oversized(table(spark, base, "artifacts"), "artifact_id", "text", table(spark, base, "artifact_paging_metadata"))
@@ -98,5 +130,5 @@ ew AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM e,
 SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
 }
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean)}
 ORACLE = {"p6_found": "SELECT DISTINCT artifact_id FROM artifacts WHERE length(text) > 4000"} | P7 | P9
