@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chunking, leakage, overlaps, percentiles, similar, tokenizer
+from sparkloom.llm import chunking, credentials, leakage, overlaps, percentiles, similar, tokenizer
 from sparkloom.sources.tables import table
 
 
@@ -41,6 +41,27 @@ def p2_counts(spark: SparkSession, base: str) -> DataFrame:
     return met.groupBy("split_name", "repository_scope").agg(F.sum("n").alias("n_pairs"), F.count_distinct("eval_id").alias("n_candidates"))
 
 
+# --- 3: credentials --------------------------------------------------------------------------------------------------
+#: The tables with texts that may hold credentials, with key and text.
+TEXTS = {"evidence": ("id", "text"), "agent_memory_records": ("record_id", "value")}
+
+
+def p3_places(spark: SparkSession, base: str) -> DataFrame:
+    """Every find with its kind, the layers of encoding around it, and its place in characters."""
+    parts = [credentials.find_credentials(table(spark, base, t), k, c).withColumn("source_table", F.lit(t)) for t, (k, c) in TEXTS.items()]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return p3_places(spark, base).select("source_table", "row_key", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every row's text once more, with only its credentials replaced."""
+    parts = [credentials.redacted(table(spark, base, t), k, c).withColumn("source_table", F.lit(t)) for t, (k, c) in TEXTS.items()]
+    return parts[0].unionByName(parts[1])
+
+
 # --- 6: pieces of oversized texts -----------------------------------------------------------------------------------
 def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     return chunking.split_oversized(table(spark, base, "artifacts"), "artifact_id", "text", table(spark, base, "artifact_paging_metadata"))
@@ -130,5 +151,5 @@ ew AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM e,
 SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_found, p3_places, p3_redacted, p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean)}
 ORACLE = {"p6_found": "SELECT DISTINCT artifact_id FROM artifacts WHERE length(text) > 4000"} | P7 | P9
