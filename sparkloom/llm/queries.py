@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chunking, credentials, leakage, overlaps, percentiles, similar, tokenizer
+from sparkloom.llm import chunking, credentials, leakage, overlaps, percentiles, similar, tokenizer, truncation
 from sparkloom.sources.tables import table
 
 
@@ -142,6 +142,22 @@ def p9_clean(spark: SparkSession, base: str) -> DataFrame:
     return leakage.remove_leaks(*_leak_args(spark, base))
 
 
+# --- 10: texts that were cut off ---------------------------------------------------------------------------------------
+def _truncated(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.truncated(table(spark, base, "documents"), "doc_id", "text", "doc_kind", "source")
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return _truncated(spark, base).where("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, base: str) -> DataFrame:
+    """Texts, cut texts and their share for each source."""
+    n = F.count(F.lit(1))
+    cut = F.count(F.when(F.col("cut"), 1))
+    return _truncated(spark, base).groupBy("source").agg(n.alias("n_texts"), cut.alias("n_cut"), F.round(cut / n, 6).alias("share"))
+
+
 WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 P9 = {
     "p9_found": f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
@@ -151,5 +167,5 @@ ew AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM e,
 SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_found, p3_places, p3_redacted, p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_found, p3_places, p3_redacted, p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean, p10_found, p10_sources)}
 ORACLE = {"p6_found": "SELECT DISTINCT artifact_id FROM artifacts WHERE length(text) > 4000"} | P7 | P9
