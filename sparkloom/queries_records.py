@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import hierarchy as H
 from sparkloom.operators import nested
+from sparkloom.plans.durable import durable
 from sparkloom.sources.tables import table
 
 #: The members whose elements are rows, and the fields that hold them.
@@ -17,9 +19,9 @@ FIELDS = {"laya_candidates": ("candidate_id", "candidate_json"), "artifacts": ("
 RELATIONS = {"supersedes": "supersedes_record_id", "contradicts": "contradicts_record_id"}
 
 
-def _objects(spark: SparkSession, base: str, attributes: bool) -> DataFrame:
-    parts = [nested.nested_objects(table(spark, base, t), k, f, MEMBERS, attributes).withColumn("source_table", F.lit(t)) for t, (k, f) in FIELDS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def _objects(spark: SparkSession, base: str, attributes: bool = True, root_row: bool = False, sources: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    parts = [table(spark, base, t).select(F.lit(t).alias("source_table"), F.col(k).alias("k"), F.col(f).alias("f")) for t, (k, f) in FIELDS.items() if t in sources]
+    return nested.nested_objects(reduce(DataFrame.unionByName, parts), "k", "f", MEMBERS, attributes, root_row, also=("source_table",))
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
@@ -27,39 +29,29 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_schema(spark: SparkSession, base: str) -> DataFrame:
-    parts = [
-        nested.merged_schema(nested.nested_objects(table(spark, base, t).select(k, f).distinct(), k, f, MEMBERS, root_row=True)).withColumn("source_table", F.lit(t)) for t, (k, f) in FIELDS.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def p4_checks(spark: SparkSession, base: str) -> DataFrame:
-    """The child table of the checks of a candidate's events."""
-    objects = nested.nested_objects(table(spark, base, "laya_candidates"), "candidate_id", "candidate_json", MEMBERS)
-    part = objects.where(F.col("table_path") == "$.label_provenance.events.details.checks")
-    a = F.col("attributes")
-    name = F.get_json_object(F.concat(F.lit('{"v":'), a["name"], F.lit("}")), "$.v")
-    return part.select("row_key", "parent_path", "object_path", "ordinal", name.alias("name"), a["passed"].cast("boolean").alias("passed")).distinct()
+    """The merged schema of each source: its tables, their attributes and types."""
+    objects = _objects(spark, base, root_row=True)
+    return nested.merged_schema(objects.withColumn("table_path", F.concat_ws(":", "source_table", "table_path"))).select(
+        F.substring_index("table_path", ":", 1).alias("source_table"), F.expr("substring(table_path, instr(table_path, ':') + 1)").alias("table_path"), "attribute", "type", "n_objects", "n_null"
+    )
 
 
 def _flat(objects: DataFrame, name: str) -> DataFrame:
-    named = objects.withColumn("table_path", F.lit(name))
+    named = durable(objects.withColumn("table_path", F.lit(name)))
     found = nested.child_tables(named, also=("source_table",))
-    return found[name] if name in found else named.select("source_table", "row_key", "parent_path", "object_path", "ordinal")
+    return found[name] if name in found else named.select("source_table", "row_key", "object_id", "parent_id", "parent_path", "object_path", "ordinal")
 
 
 def _root_table(source: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, base: str) -> DataFrame:
-        k, f = FIELDS[source]
-        objects = nested.nested_objects(table(spark, base, source), k, f, MEMBERS, root_row=True).withColumn("source_table", F.lit(source))
-        return _flat(objects.where(F.col("table_path") == "$"), source)
+        return _flat(_objects(spark, base, root_row=True, sources=(source,)).where(F.col("table_path") == "$"), source)
 
     return run
 
 
 def _member_table(member: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, base: str) -> DataFrame:
-        return _flat(_objects(spark, base, True).where(F.substring_index("table_path", ".", -1) == member), member)
+        return _flat(_objects(spark, base).where(F.substring_index("table_path", ".", -1) == member), member)
 
     return run
 
@@ -116,7 +108,7 @@ final AS (
   FROM walk w WHERE ring OR NOT EXISTS (SELECT 1 FROM link l WHERE l.relation = w.relation AND l.id = w.cur))
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_schema, p4_checks, p5_found, p5_paths, p5_descendants, p5_circle_descendants, p5_circles)} | TABLES
+QUERIES = {f.__name__: f for f in (p4_found, p4_schema, p5_found, p5_paths, p5_descendants, p5_circle_descendants, p5_circles)} | TABLES
 ORACLE = {
     "p5_found": _WALK + "SELECT relation, record_id, root_record_id, CAST(depth AS BIGINT) AS depth FROM final",
     "p5_paths": _WALK + "SELECT relation, record_id, array_to_string(path, '/') AS path FROM final",
