@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom import queries_records
+from sparkloom import queries_records, queries_telemetry
 
-MODULES = (queries_records,)
+MODULES = (queries_records, queries_telemetry)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in MODULES:
