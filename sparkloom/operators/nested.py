@@ -47,18 +47,16 @@ def _held(v: Column) -> Column:
     """A string that holds a JSON object or array as what it holds; every other value as it is."""
 
     def opened(x: Column) -> Column:
-        t = _text(x)
-        return F.when(_opens(t) & _array(x).isNull() & _object(x).isNull(), F.coalesce(F.try_parse_json(t), x)).otherwise(x)
+        return F.when(_array(x).isNull() & _object(x).isNull() & _opens(_text(x)), F.coalesce(F.try_parse_json(_text(x)), x)).otherwise(x)
 
     return _let(v, opened)
 
 
 def parsed(text: Column) -> Column:
     """The object or array a field holds, encoded once or more often; null for anything else."""
-    v = F.try_parse_json(text)
     for _ in range(ENCODINGS - 1):
-        v = _let(v, lambda x: F.when(_array(x).isNull() & _object(x).isNull(), F.try_parse_json(_text(x))).otherwise(x))
-    return _let(v, lambda x: F.when(_array(x).isNotNull() | _object(x).isNotNull(), x))
+        text = _let(text, lambda t: F.when(F.ltrim(t).startswith('"'), _text(F.try_parse_json(t))).otherwise(t))
+    return F.when(_opens(text), F.try_parse_json(text))
 
 
 def _step(name: Column) -> Column:
@@ -110,12 +108,11 @@ def _objects(df: DataFrame, key: str, field: str, members: list[str] | None, att
     nodes = levels[0]
     for x in levels[1:]:
         nodes = nodes.unionByName(x)
-    nodes = nodes.where(_object("v").isNotNull())
+    nodes = nodes.where(_array("v").isNull())  # the other containers are objects
     out = nodes.where("row").where(F.lit(True) if root_row else F.col("path") != "$")
-    own = out.select(
-        *keys, _key(F.col("path"), keys).alias("object_id"), F.when(F.col("path") != "$", _key(F.col("up"), keys)).alias("parent_id"), F.col("path").alias("object_path"),
-        F.when(F.col("path") != "$", F.col("up")).otherwise(F.lit("")).alias("parent_path"), F.col("table").alias("table_path"), "ordinal",
-    ).distinct()
+    links = out.select(*keys, F.col("path").alias("object_path"), F.when(F.col("path") != "$", F.col("up")).otherwise(F.lit("")).alias("parent_path"), F.col("table").alias("table_path"), "ordinal").distinct()
+    parent = F.when(F.col("object_path") != "$", _key(F.col("parent_path"), keys)).alias("parent_id")
+    own = links.select(*keys, _key(F.col("object_path"), keys).alias("object_id"), parent, "object_path", "parent_path", "table_path", "ordinal")
     if not attributes:
         return own
     return own.join(_attributes(nodes, keys, members, root_row), "object_id", "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
@@ -124,23 +121,24 @@ def _objects(df: DataFrame, key: str, field: str, members: list[str] | None, att
 def _next(level: DataFrame, keys: list[str], members: list[str] | None) -> DataFrame:
     """The containers one level further in."""
     listed = F.col("name").isin(members) if members is not None else _array(F.col("c")).isNotNull()
-    node = F.when(_object("v").isNotNull(), F.transform(F.map_entries(_object("v")), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("pos"), e["value"].alias("c"))))
+    node = F.transform(F.map_entries(_object("v")), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("pos"), e["value"].alias("c")))
     elements = F.transform(_array("v"), lambda e, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("pos"), e.alias("c")))
-    inner = level.select(*keys, "path", "own", "up", "table", "prefix", F.explode(node.otherwise(elements)).alias("e"))
+    inner = level.select(*keys, "path", "own", "up", "table", "prefix", F.explode(F.coalesce(node, elements)).alias("e"))
     inner = inner.select(*keys, "path", "own", "up", "table", "prefix", "e.name", "e.pos", _held(F.col("e.c")).alias("c")).where(_array(F.col("c")).isNotNull() | _object(F.col("c")).isNotNull())
     inner = inner.withColumn("at", F.concat("path", F.when(F.col("name").isNotNull(), _step(F.col("name"))).otherwise(F.concat(F.lit("["), F.col("pos"), F.lit("]")))))
     inner = inner.withColumns({"is_list": F.coalesce(F.col("name").isNotNull() & listed, F.lit(False)), "in": F.when(F.col("name").isNotNull(), F.concat("table", _step(F.col("name")))).otherwise(F.col("table"))})
-    lists = inner.where("is_list").select(
-        *keys, "own", F.col("at").alias("path"), F.col("in").alias("table"), F.posexplode(F.coalesce(_array(F.col("c")), F.array("c"))).alias("i", "x")
+    element = F.transform(F.coalesce(_array(F.col("c")), F.array("c")), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    single = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.col("c").alias("x")))
+    each = inner.select(*keys, "at", "own", "up", "in", "prefix", "name", "pos", "is_list", F.explode(F.when(F.col("is_list"), element).otherwise(single)).alias("e"))
+    each = each.select(*keys, "at", "own", "up", "in", "prefix", "name", "pos", "is_list", "e.i", F.when(F.col("is_list"), _held(F.col("e.x"))).otherwise(F.col("e.x")).alias("v"))
+    each = each.withColumn("obj", _object(F.col("v")).isNotNull()).where(F.col("obj") | _array(F.col("v")).isNotNull())
+    path = F.when(F.col("is_list"), F.concat("at", F.lit("["), "i", F.lit("]"))).otherwise(F.col("at"))
+    each = each.withColumns({"path": path, "row": F.col("is_list") & F.col("obj")})
+    inside = F.concat("prefix", F.coalesce(_step(F.col("name")), F.concat(F.lit("["), F.col("pos"), F.lit("]"))))
+    return each.select(
+        *keys, "path", F.when(F.col("row"), F.col("path")).otherwise(F.col("own")).alias("own"), F.when(F.col("row"), F.col("own")).otherwise(F.col("up")).alias("up"),
+        F.col("in").alias("table"), F.coalesce(F.col("i"), F.lit(0)).cast("long").alias("ordinal"), F.when(F.col("is_list"), F.lit("")).otherwise(inside).alias("prefix"), "row", "v",
     )
-    lists = lists.select(*keys, F.concat("path", F.lit("["), "i", F.lit("]")).alias("path"), F.col("own").alias("up"), "table", F.col("i").cast("long").alias("ordinal"), _held(F.col("x")).alias("v"))
-    lists = lists.where(_array("v").isNotNull() | _object("v").isNotNull()).withColumn("row", _object("v").isNotNull())
-    lists = lists.select(*keys, "path", F.when(F.col("row"), F.col("path")).otherwise(F.col("up")).alias("own"), "up", "table", "ordinal", F.lit("").alias("prefix"), "row", "v")
-    plain = inner.where("NOT is_list").select(
-        *keys, F.col("at").alias("path"), "own", "up", F.col("in").alias("table"), F.lit(0).cast("long").alias("ordinal"),
-        F.concat("prefix", F.ltrim(F.coalesce(_step(F.col("name")), F.concat(F.lit("["), F.col("pos"), F.lit("]")))), F.lit("")).alias("prefix"), F.lit(False).alias("row"), F.col("c").alias("v"),
-    )
-    return lists.unionByName(plain)
 
 
 def _attributes(nodes: DataFrame, keys: list[str], members: list[str] | None, root_row: bool) -> DataFrame:
