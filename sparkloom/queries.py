@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom import queries_records, queries_telemetry
+from sparkloom import queries_records, queries_records2, queries_retrieval, queries_telemetry
 
-MODULES = (queries_records, queries_telemetry)
+MODULES = (queries_records, queries_telemetry, queries_retrieval, queries_records2)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in MODULES:
