@@ -99,9 +99,11 @@ def _positions(links: DataFrame, members: DataFrame) -> DataFrame:
     return lookup(steps, sizes, ["relation", "comp"], "inner").select("relation", "id", "comp", place)
 
 
-def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str, int, list[str], int | None, list[str]]]:
+def traverse(ids: list[str], parents: list[str | None], detail: bool = True) -> Iterator[tuple[str, str, int, list[str], int | None, list[str]]]:
     """(id, root, depth, path, position, branch) of every node, depth first from the roots with node colouring.
 
+    One node is held at a time, with one path that is kept up to date; without ``detail`` paths and branches are empty.
+
     path runs from the root to the node. What no root reaches lies on a circle or leads into one: depth -1, root the
     smallest id of the circle, path empty. Members of the circle have a position, counted from the smallest id along
     the links; the others have a branch, from the member they hang below to the node.
@@ -125,7 +127,6 @@ def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str,
             for n, m in enumerate(members[least:] + members[:least]):
                 rings[m] = (members[least], n)
         black.update(grey)
-    out: list[tuple] = []
     for root in (i for i, p in up.items() if p is None or i in rings):
         path: list[str] = []
         todo = [(root, 0)]
@@ -133,14 +134,14 @@ def traverse(ids: list[str], parents: list[str | None]) -> list[tuple[str, str,
             node, depth = todo.pop()
             del path[depth:]
             path.append(node)
+            line = list(path) if detail else []
             if root not in rings:
-                out.append((node, root, depth, list(path), None, []))
+                yield node, root, depth, line, None, []
             elif depth:
-                out.append((node, rings[root][0], -1, [], None, list(path)))
+                yield node, rings[root][0], -1, [], None, line
             else:
-                out.append((node, rings[root][0], -1, [], rings[root][1], []))
+                yield node, rings[root][0], -1, [], rings[root][1], []
             todo += [(c, depth + 1) for c in below.get(node, ()) if c not in rings]
-    return out
 
 
 def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_COMPONENT) -> DataFrame:
@@ -161,29 +162,38 @@ def hierarchy(links: DataFrame, detail: bool = False, max_component: int = MAX_C
         small, big = label, None
     schema = "relation string, record_id string, root_record_id string, depth long, path array<string>, position long, branch array<string>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["relation", "record_id", "root_record_id", "depth", "path", "position", "branch"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"position": "Int64"})
+
+    def walked(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """The rows of each component in turn; one component is held at a time."""
         held: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
-            done = [(held[0][0], *t[:3], *(t[3:] if detail else (None, None, None))) for t in traverse([h[2] for h in held], [h[3] for h in held])]
-            return pd.DataFrame(done, columns=["relation", "record_id", "root_record_id", "depth", "path", "position", "branch"]).astype({"position": "Int64"})
+        def done() -> Iterator[tuple]:
+            for t in traverse([h[2] for h in held], [h[3] for h in held], detail):
+                yield (held[0][0], *t[:3], *(t[3:] if detail else (None, None, None)))
 
-        parts: list[pd.DataFrame] = []
-        count = 0
         for f in frames:
             for row in zip(f["relation"], f["comp"], f["id"], f["parent"].where(f["parent"].notna(), None)):
                 if held and (held[0][0], held[0][1]) != (row[0], row[1]):
-                    parts.append(flush())
-                    count += len(held)
+                    yield from done()
                     held.clear()
-                    if count > 20_000:
-                        yield pd.concat(parts)
-                        parts, count = [], 0
                 held.append(row)
         if held:
-            parts.append(flush())
-        if parts:
-            yield pd.concat(parts)
+            yield from done()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for r in walked(frames):
+            rows.append(r)
+            size += 1 + len(r[4] or ()) + len(r[6] or ())
+            if size > 100_000:  # names in a batch, paths counted in full
+                yield frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield frame(rows)
 
     placed = small.join(links, ["relation", "id"]).select("relation", "comp", "id", "parent")
     out = placed.repartition("relation", "comp").sortWithinPartitions("relation", "comp").mapInPandas(run, schema)
