@@ -61,7 +61,7 @@ def boundaries(text: str, sections: list[int]) -> list[list[int]]:
         total += m.end() - m.start()
         words.append(total)
     return [
-        sorted({p for p in sections if 0 < p < n}),
+        sorted({p for p in sections if 0 < p < n and text[p - 1] == "\n"}),  # an offset that no line begins at isn't this text's
         [m.end() for m in PARAGRAPH.finditer(text)],
         [m.end() for m in LINE.finditer(text)],
         [m.end() for m in SENTENCE.finditer(text)],
@@ -117,7 +117,8 @@ def split_oversized(
 
     Characters are Unicode code points. Null, empty and shorter texts give no rows. Of repeated rows of a key the one
     latest by ``order`` counts, of equal ones the larger text. Rows without a key give no rows. Unreadable or absent
-    sections leave the other boundaries. Only oversized texts are shuffled (for the join with their sections).
+    sections leave the other boundaries, as do section offsets at which no line begins in the text; of several paging
+    rows of a key a readable one counts. Of the texts only oversized ones are shuffled, for the join with their sections.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be below half of the limit")
@@ -126,7 +127,8 @@ def split_oversized(
     at = F.col(f"`{order}`") if order in texts.columns else F.lit(0)
     rows = rows.groupBy(F.col(f"`{key}`").alias("k")).agg(F.max(F.struct(at.alias("o"), t.alias("t"))).alias("x")).select("k", F.col("x.t").alias("t"))
     if paging is not None:
-        s = paging.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("k2")).agg(F.max(F.col(f"`{sections}`").cast("string")).alias("s"))
+        s = paging.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("k2")).agg(F.max(F.struct(F.try_parse_json(F.col(f"`{sections}`").cast("string")).isNotNull().alias("r"), F.col(f"`{sections}`").cast("string").alias("j"))).alias("x"))
+        s = s.select("k2", F.col("x.j").alias("s"))
         rows = rows.join(s, rows.k == s.k2, "left").select("k", "t", "s")
     else:
         rows = rows.select("k", "t", F.lit(None).cast("string").alias("s"))
@@ -138,19 +140,23 @@ def split_oversized(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at, out, held = [], [], 0
+
+            def full() -> pa.RecordBatch:
+                no, a, z, cut, piece = zip(*out)
+                cols = [pa.array(c, t) for c, t in ((no, pa.int64()), (a, pa.int64()), (z, pa.int64()), (cut, pa.string()), (piece, pa.string()))]
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], ["k", "no", "a", "z", "cut", "piece"])
+
             for i, (body, given) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                pieces = split_text(body, section_ends(given), limit, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array([i] * len(pieces), pa.int64())),
-                        pa.array(range(len(pieces)), pa.int64()),
-                        pa.array([a for a, _, _ in pieces], pa.int64()),
-                        pa.array([z for _, z, _ in pieces], pa.int64()),
-                        pa.array([c for _, _, c in pieces], pa.string()),
-                        pa.array([body[a:z] for a, z, _ in pieces], pa.string()),
-                    ],
-                    ["k", "no", "a", "z", "cut", "piece"],
-                )
+                for no, (a, z, cut) in enumerate(split_text(body, section_ends(given), limit, overlap)):
+                    at.append(i)
+                    out.append((no, a, z, cut, body[a:z]))
+                    held += z - a
+                if held > 4_000_000:
+                    yield full()
+                    at, out, held = [], [], 0
+            if out:
+                yield full()
 
     return rows.mapInArrow(run, kind).select(
         F.col("k").alias(key), F.col("no").alias("piece_no"), F.col("a").alias("start_char"), F.col("z").alias("end_char"), "cut", "piece"

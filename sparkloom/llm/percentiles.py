@@ -28,11 +28,12 @@ def bucket_of(value: Column, error: float = RELATIVE_ERROR) -> Column:
     return F.when(F.abs(value) == float("inf"), F.lit(INFINITE)).otherwise(F.ceil(F.log(F.abs(value)) / F.lit(_log_gamma(error))).cast("int"))
 
 
-def sketch(df: DataFrame, groups: list[str], value: str, error: float = RELATIVE_ERROR) -> DataFrame:
+def sketch(df: DataFrame, groups: list[str], value: str, error: float = RELATIVE_ERROR, *also: Column) -> DataFrame:
     """``groups``, sign (-1, 0, 1), bucket, n: the sketch of each group.
 
-    Null and NaN aren't counted; infinite values have a bucket of their own at each end. A group without a value has no row. Partial counts are made before
-    the shuffle, so what moves is buckets and a hot group costs no more than any other.
+    Null and NaN aren't counted; infinite values have a bucket of their own at each end. A group without a value has no
+    row. Partial counts are made before the shuffle, so what moves is buckets and a hot group costs no more than any
+    other. ``also`` are further aggregates of each bucket.
     """
     v = F.col(f"`{value}`").cast("double")
     sign = F.signum(v).cast("int")
@@ -40,12 +41,16 @@ def sketch(df: DataFrame, groups: list[str], value: str, error: float = RELATIVE
     return (
         df.where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*[F.col(f"`{g}`") for g in groups], sign.alias("sign"), bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *also)
     )
 
 
 def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """Sums sketches that were computed apart (union them first)."""
+    """Sums sketches that were computed apart (union them first).
+
+    Rows must have been counted in one sketch only: repeats of a row that may lie in two files are to be removed
+    before, or the sketches made by a key under which all repeats fall together (the day of a row, say).
+    """
     return sketches.groupBy(*groups, "sign", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -69,14 +74,14 @@ def rank_of(total: Column, share: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.call_function("div", total.cast("long") * F.lit(a).cast("long") + F.lit(b - 1).cast("long"), F.lit(b).cast("long")))
 
 
-def bucket_at(sketches: DataFrame, groups: list[str], share: float) -> DataFrame:
+def bucket_at(sketches: DataFrame, groups: list[str], share: float, also: tuple[str, ...] = ()) -> DataFrame:
     """For each group the bucket that holds the value of that share, with ``below`` (the count before it) and ``total``."""
     rank = rank_of(F.col("total"), share)
     return (
         _ordered(sketches, groups)
         .withColumn("below", F.col("upto") - F.col("n"))
         .where((F.col("below") < rank) & (rank <= F.col("upto")))
-        .select(*groups, "sign", "bucket", "below", "n", "total")
+        .select(*groups, "sign", "bucket", "below", "n", "total", *also)
     )
 
 
@@ -100,19 +105,14 @@ def groups_above(
 ) -> DataFrame:
     """The groups whose exact percentile lies above ``limit`` (> 0).
 
-    The sketch decides every group whose percentile falls into another bucket than the limit does. In the remaining
-    groups the values of that one bucket are counted against the limit, which makes the answer exact.
+    The sketch decides every group whose percentile falls into another bucket than the limit does. For the remaining
+    ones the values of that one bucket are counted against the limit in the same pass, which makes the answer exact.
     """
-    at = bucket_at(sketch(df, groups, value, error), groups, share)
-    edge = F.when(F.col("sign") == 1, F.col("bucket") - bucket_of(F.lit(limit), error)).otherwise(F.lit(-1))
-    at = at.withColumn("side", F.signum(edge).cast("int"))
     v = F.col(f"`{value}`").cast("double")
-    near = df.where((v > 0) & (bucket_of(v, error) == bucket_of(F.lit(limit), error)) & (v <= F.lit(limit)))
-    near = near.groupBy(*groups).agg(F.count(F.lit(1)).alias("under"))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    rank = rank_of(F.col("a.total"), share)
-    over = (F.col("a.side") > 0) | ((F.col("a.side") == 0) & (F.col("a.below") + F.coalesce(F.col("b.under"), F.lit(0)) < rank))
-    return at.alias("a").join(near.alias("b"), on, "left").where(over).select(*[F.col(f"a.{g}").alias(g) for g in groups])
+    edge = bucket_of(F.lit(limit), error)
+    under = F.count(F.when((v > 0) & (bucket_of(v, error) == edge) & (v <= F.lit(limit)), 1)).alias("under")
+    at = bucket_at(sketch(df, groups, value, error, under), groups, share, ("under",))
+    rank = rank_of(F.col("total"), share)
+    positive = F.col("sign") == 1
+    over = (positive & (F.col("bucket") > edge)) | (positive & (F.col("bucket") == edge) & (F.col("below") + F.col("under") < rank))
+    return at.where(over).select(*[F.col(f"`{g}`") for g in groups])

@@ -72,15 +72,16 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 # --- 7: percentiles --------------------------------------------------------------------------------------------------
-def measured(spark: SparkSession, base: str) -> DataFrame:
-    """activity and model in their plain form and duration_ms of every measured step, each id once."""
+def measured(spark: SparkSession, base: str, *also: str) -> DataFrame:
+    """activity and model in their plain form and duration_ms of every measured step, each id once; ``also`` may name day."""
     plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(c)
-    rows = table(spark, base, "telemetry_events").select("id", plain("activity"), plain("model"), "duration_ms")
+    rows = table(spark, base, "telemetry_events").select("id", plain("activity"), plain("model"), "duration_ms", *[F.date_format("created_at", "yyyy-MM-dd").alias(c) for c in also])
     d = F.col("duration_ms")
     return rows.where(d.isNotNull() & ~F.isnan(d) & (d > 0)).dropDuplicates(["id"])
 
 
 GROUPS = ["activity", "model"]
+SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -91,9 +92,27 @@ def p7_sketch(spark: SparkSession, base: str) -> DataFrame:
     return percentiles.sketch(measured(spark, base), GROUPS, "duration_ms")
 
 
+def p7_daily(spark: SparkSession, base: str) -> DataFrame:
+    """The sketch of each day; all repeats of a row lie on one day, so days computed apart can be combined."""
+    return percentiles.sketch(measured(spark, base, "day"), ["day", *GROUPS], "duration_ms")
+
+
+def p7_merged(spark: SparkSession, base: str) -> DataFrame:
+    """The days' sketches combined: the sketch of the whole table."""
+    return percentiles.merge(p7_daily(spark, base), GROUPS)
+
+
+def p7_within(spark: SparkSession, base: str) -> DataFrame:
+    """Whether the estimates of each group lie within the stated error of the exact percentiles."""
+    rows = measured(spark, base)
+    exact = rows.groupBy(*GROUPS).agg(*[F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY duration_ms)").alias(f"e{n}") for n, s in SHARES.items()])
+    est = percentiles.estimates(percentiles.sketch(rows, GROUPS, "duration_ms"), GROUPS, SHARES)
+    near = [F.abs(F.col(n) - F.col(f"e{n}")) <= (percentiles.RELATIVE_ERROR + 1e-9) * F.col(f"e{n}") for n in SHARES]
+    return est.join(exact, GROUPS).select(*GROUPS, (near[0] & near[1] & near[2] & near[3]).alias("within"))
+
+
 def p7_percentiles(spark: SparkSession, base: str) -> DataFrame:
-    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return percentiles.estimates(p7_sketch(spark, base), GROUPS, shares).select(*GROUPS, "n", *[F.round(c, 6).alias(c) for c in shares])
+    return percentiles.estimates(p7_sketch(spark, base), GROUPS, SHARES).select(*GROUPS, "n", *[F.round(c, 6).alias(c) for c in SHARES])
 
 
 MEASURED_SQL = """measured AS (
@@ -112,6 +131,11 @@ P7 = {
          count(*) OVER (PARTITION BY activity, model) AS n FROM measured)
 SELECT activity, model FROM ranked WHERE r = CAST(ceil(n * 95 / 100.0) AS BIGINT) AND duration_ms > 2500""",
     "p7_sketch": f"WITH {MEASURED_SQL}, {SKETCH_SQL} SELECT activity, model, sign, bucket, n FROM sketch",
+    "p7_merged": f"WITH {MEASURED_SQL}, {SKETCH_SQL} SELECT activity, model, sign, bucket, n FROM sketch",
+    "p7_daily": f"""WITH measured AS (SELECT DISTINCT id, strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%d') AS day, lower(trim(coalesce(activity, ''))) AS activity, lower(trim(coalesce(model, ''))) AS model, duration_ms
+  FROM telemetry_events WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms) AND duration_ms > 0)
+SELECT day, activity, model, CAST(sign(duration_ms) AS INTEGER) AS sign, CAST(ceil(ln(abs(duration_ms)) / ln{GAMMA_SQL}) AS INTEGER) AS bucket, count(*) AS n FROM measured GROUP BY 1, 2, 3, 4, 5""",
+    "p7_within": f"WITH {MEASURED_SQL} SELECT activity, model, true AS within FROM measured GROUP BY 1, 2",
     "p7_percentiles": f"""WITH {MEASURED_SQL}, {SKETCH_SQL}, run AS (
   SELECT *, sum(n) OVER (PARTITION BY activity, model ORDER BY bucket) AS upto,
          sum(n) OVER (PARTITION BY activity, model) AS total FROM sketch)
@@ -138,6 +162,11 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leakage.find_leaks(*_leak_args(spark, base))
 
 
+def p9_kept(spark: SparkSession, base: str) -> DataFrame:
+    """The documents that share no passage with any evaluation item."""
+    return leakage.drop_leaking(*_leak_args(spark, base)).select("doc_id")
+
+
 def p9_clean(spark: SparkSession, base: str) -> DataFrame:
     return leakage.remove_leaks(*_leak_args(spark, base))
 
@@ -166,6 +195,7 @@ dw AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM d, unnest(ra
 ew AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS t(i))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
 }
+P9["p9_kept"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (" + P9["p9_found"] + "))"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_found, p3_places, p3_redacted, p6_found, p6_pieces, p7_found, p7_sketch, p7_percentiles, p8_ids, p9_found, p9_clean, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_found, p3_places, p3_redacted, p6_found, p6_pieces, p7_found, p7_sketch, p7_daily, p7_merged, p7_within, p7_percentiles, p8_ids, p9_found, p9_kept, p9_clean, p10_found, p10_sources)}
 ORACLE = {"p6_found": "SELECT DISTINCT artifact_id FROM artifacts WHERE length(text) > 4000"} | P7 | P9
