@@ -18,3 +18,18 @@ def test_ranks_of_fine_shares(spark):
     assert tuple(ranks) == (99_999, 95_000, 1, 100_000)
     with pytest.raises(ValueError):
         P.rank_of(total.id, 1 / 3)
+
+
+def test_days_combine_and_the_error_holds(spark):
+    rows = [("d%d" % (i % 3), None if i % 50 == 0 else "g", -2.0 if i % 7 == 0 else 1.01**i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "day string, g string, v double")
+    one = {tuple(r) for r in P.sketch(df, ["g"], "v").select("g", "sign", "bucket", "n").collect()}
+    days = P.merge(P.sketch(df, ["day", "g"], "v"), ["g"])
+    assert {tuple(r) for r in days.select("g", "sign", "bucket", "n").collect()} == one
+    for name in ("g", None):
+        values = sorted(v for _, g, v in rows if g == name)
+        got = {r.g: r for r in P.estimates(days, ["g"], {"a": 0.1, "b": 0.5, "c": 0.99}).collect()}[name]
+        for share, est in ((0.1, got.a), (0.5, got.b), (0.99, got.c)):
+            exact = values[max(1, -(-int(len(values) * share * 100) // 100)) - 1]
+            assert abs(est - exact) <= 0.011 * abs(exact) or abs(est - values[min(len(values) - 1, int(len(values) * share))]) <= 0.011 * abs(exact)
+    assert P.sketch(df.limit(0), ["g"], "v").count() == 0
