@@ -52,4 +52,4 @@ def test_empty_tables(spark):
     docs, items = frames(spark)
     assert L.find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert L.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
-    assert L.drop_leaking(docs, "doc_id", "text", items, "item_id", "text").select("doc_id").distinct().count() == 5
+    assert L.drop_leaking(docs, "doc_id", "text", items, "item_id", "text").select("doc_id").distinct().count() == 8 - len({d for d, _ in brute(docs.collect(), items.collect())})
