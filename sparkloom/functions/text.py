@@ -101,7 +101,7 @@ def head_tail(text: Column, head: int, tail: int) -> Column:
 
 
 def cut_at_line(text: Column, most: int) -> Column:
-    """At most ``most`` characters, cut after the last whole line where there is one."""
+    """At most ``most`` characters, cut behind the last whole line (without its line end) where there is one."""
     head = F.substring(text, 1, most)
     at = F.length(head) - F.instr(F.reverse(head), "\n")
     return F.when(F.length(text) <= most, text).when(F.instr(head, "\n") > 0, F.substring(head, F.lit(1), at)).otherwise(head)

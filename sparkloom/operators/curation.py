@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.operators import graph
 from sparkloom.plans.durable import durable
@@ -29,7 +30,7 @@ def simhash(text: str, size: int = 4) -> int:
 
 def simhashes(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, simhash of every row; null for a null text."""
-    kind = df.select(F.col(key)).schema.add("simhash", "long")
+    kind = T.StructType([df.schema[key], T.StructField("simhash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

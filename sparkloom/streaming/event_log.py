@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.plans.durable import checkpoint_dir
 
@@ -39,7 +40,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{number:09d}")
 
     writer.outputMode(mode).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema.add("_batch", "int")).parquet(f"{root}/out/*")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{root}/out/*")
 
 
 def latest_updates(updates: DataFrame, keys: list[str]) -> DataFrame:

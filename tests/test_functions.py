@@ -29,7 +29,7 @@ def test_text_functions(spark):
     assert one(spark, X.estimate_tokens, "", "x" * 34, "é") == [1, 10, 1]
     assert one(spark, X.estimate_code_tokens, "a = abcdef", "") == [4, 1]
     assert one(spark, lambda c: X.head_tail(c, 1, 1), "a\nb\nc\nd", "a\nb") == ["a\n... 2 lines ...\nd", "a\nb"]
-    assert one(spark, lambda c: X.cut_at_line(c, 5), "ab\ncd\nef", "abcdefg", "ab") == ["ab\n", "abcde", "ab"]
+    assert one(spark, lambda c: X.cut_at_line(c, 5), "ab\ncd\nef", "abcdefg", "ab") == ["ab", "abcde", "ab"]
 
 
 def simhash(text):
