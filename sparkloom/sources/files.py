@@ -18,7 +18,8 @@ WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|r
 
 def checked_select(text: str) -> str:
     """The text, if it is one SELECT (or WITH ... SELECT); quoted literals and comments aren't looked into."""
-    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", "''", text, flags=re.S).strip().rstrip(";").strip()
+    quoted = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+    bare = quoted.sub(lambda m: " " if m.group()[:2] in ("--", "/*") else "''", text).strip().rstrip(";").strip()
     if ";" in bare or not re.match(r"(select|with)\b", bare, re.I) or WRITES.search(bare):
         raise ValueError("only one SELECT statement is allowed")
     return text.strip().rstrip(";")
