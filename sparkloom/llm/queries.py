@@ -15,14 +15,21 @@ NEIGHBOURS, LIKE = 5, 0.8
 
 
 def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
-    """space, n, id, neighbour, similarity: the five most similar records of each, of similarity 0.8 or more."""
+    """space, n, id, neighbour, similarity: the five most similar records of each, of similarity 0.8 or more.
+
+    Vectors are held in single precision, so similarities are good to about 1e-7 and reported to 4 decimals.
+    """
+    return _neighbours(spark, base).withColumn("similarity", F.round("similarity", 4))
+
+
+def _neighbours(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "agent_memory_embeddings")
     usable = similar.vectors(rows, "record_id", "embedding", "embedding_space_id", "dimension", "created_at")
     return similar.most_similar(usable, NEIGHBOURS, LIKE)
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    near = p1_neighbours(spark, base)
+    near = _neighbours(spark, base)
     return near.select(F.least("id", "neighbour").alias("record_id_a"), F.greatest("id", "neighbour").alias("record_id_b")).distinct()
 
 
@@ -197,5 +204,26 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
 }
 P9["p9_kept"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (" + P9["p9_found"] + "))"
 
+_VECTORS = """v AS (SELECT id, space, n, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (
+  SELECT *, len(e) AS n, row_number() OVER (PARTITION BY id, space, len(e) ORDER BY created_at DESC) AS r FROM (
+    SELECT DISTINCT record_id AS id, coalesce(embedding_space_id, '') AS space, dimension, created_at, TRY_CAST(CASE WHEN json_valid(embedding) THEN embedding END AS DOUBLE[]) AS e
+    FROM agent_memory_embeddings WHERE record_id IS NOT NULL AND starts_with(ltrim(embedding), '['))
+  WHERE len(e) > 0 AND (coalesce(dimension, 0) = 0 OR dimension = len(e)) AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0) WHERE r = 1),
+near AS (SELECT space, n, id, neighbour, similarity FROM (SELECT *, row_number() OVER (PARTITION BY space, n, id ORDER BY similarity DESC, neighbour) AS r FROM (
+  SELECT a.space, a.n, a.id, b.id AS neighbour, round(list_dot_product(a.u, b.u), 6) AS similarity FROM v a JOIN v b ON a.space = b.space AND a.n = b.n AND a.id <> b.id)) WHERE r <= 5 AND similarity >= 0.8)"""
+_STATES = """j AS (SELECT DISTINCT candidate_id, repository_scope, CASE WHEN json_valid(candidate_json) THEN CASE WHEN json_type(candidate_json) = 'VARCHAR' THEN json_extract_string(candidate_json, '$') ELSE candidate_json END END AS o FROM laya_candidates),
+s AS (SELECT candidate_id, repository_scope, CASE WHEN json_valid(o) AND json_type(o, '$.state') = 'OBJECT' THEN json_extract(o, '$.state') END AS st FROM j),
+t AS (SELECT candidate_id, repository_scope, array_to_string(regexp_extract_all(lower(array_to_string(list_transform(list_sort(json_keys(st)), lambda k: k || ' ' || coalesce(json_extract_string(st, '$."' || k || '"'), '')), ' ')), '[\\p{L}\\p{N}]+'), ' ') AS x FROM s),
+g AS (SELECT candidate_id, repository_scope, CASE WHEN length(x) >= 3 THEN list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) END AS w FROM t),
+m AS (SELECT DISTINCT a.snapshot_id, a.candidate_id, a.split_name, nullif(trim(a.content_hash), '') AS h, g.w, g.repository_scope FROM laya_dataset_assignments a LEFT JOIN g USING (candidate_id)),
+met AS (SELECT e.snapshot_id, e.candidate_id AS eval_id, t.candidate_id AS train_id, e.split_name, e.repository_scope FROM m e JOIN m t ON e.snapshot_id = t.snapshot_id AND e.split_name IN ('calibration', 'test') AND t.split_name = 'train' AND e.candidate_id <> t.candidate_id
+  WHERE e.h = t.h OR (len(e.w) >= 0.8 * len(t.w) AND len(t.w) >= 0.8 * len(e.w) AND len(list_intersect(e.w, t.w)) >= 0.8 * (len(e.w) + len(t.w) - len(list_intersect(e.w, t.w)))))"""
+P1_P2 = {
+    "p1_found": f"WITH {_VECTORS} SELECT DISTINCT least(id, neighbour) AS record_id_a, greatest(id, neighbour) AS record_id_b FROM near",
+    "p1_neighbours": f"WITH {_VECTORS} SELECT space, CAST(n AS INTEGER) AS n, id, neighbour, round(similarity, 4) AS similarity FROM near",
+    "p2_found": f"WITH {_STATES} SELECT DISTINCT snapshot_id, least(eval_id, train_id) AS candidate_id_a, greatest(eval_id, train_id) AS candidate_id_b FROM met",
+    "p2_counts": f"WITH {_STATES} SELECT split_name, repository_scope, CAST(sum(n) AS BIGINT) AS n_pairs, count(DISTINCT eval_id) AS n_candidates FROM (SELECT split_name, repository_scope, snapshot_id, eval_id, count(*) AS n FROM met GROUP BY 1, 2, 3, 4) GROUP BY 1, 2",
+}
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_counts, p3_found, p3_places, p3_redacted, p6_found, p6_pieces, p7_found, p7_sketch, p7_daily, p7_merged, p7_within, p7_percentiles, p8_ids, p9_found, p9_kept, p9_clean, p10_found, p10_sources)}
-ORACLE = {"p6_found": "SELECT DISTINCT artifact_id FROM artifacts WHERE length(text) > 4000"} | P7 | P9
+ORACLE = {"p6_found": "SELECT DISTINCT artifact_id FROM artifacts WHERE length(text) > 4000"} | P1_P2 | P7 | P9
