@@ -247,4 +247,88 @@ def c04_group_split(spark, base):
     return c.select(X.split_of(root).alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+MEM = "(SELECT DISTINCT record_id, status, kind, scope, scope_id, quarantine_reason FROM agent_memory_records WHERE record_id IS NOT NULL)"
+
+
+@R.add(f"SELECT record_id, status = 'active' AND coalesce(quarantine_reason, '') = '' AS live FROM {MEM}")
+def p08_status_with_reason(spark, base):
+    """A status that counts only without a reason against it."""
+    m = table(spark, base, "agent_memory_records").where("record_id IS NOT NULL").select("record_id", "status", "kind", "scope", "scope_id", "quarantine_reason").distinct()
+    return m.select("record_id", ((F.col("status") == "active") & (F.coalesce("quarantine_reason", F.lit("")) == "")).alias("live"))
+
+
+@R.add("SELECT a.doc_id, d.source, d.doc_kind, a.score FROM a JOIN documents d USING (doc_id)", "a")
+def j06_join_to_ranked(spark, base):
+    """A ranked page joined to its rows."""
+    return table(spark, base, "documents").select("doc_id", "source", "doc_kind").join(_bm25(spark, base, LEXICAL, 60), "doc_id").select("doc_id", "source", "doc_kind", "score")
+
+
+@R.add("SELECT artifact_id, 'viewport.' || k AS name, json_extract_string(v, '$.' || k) AS value FROM (SELECT DISTINCT artifact_id, json_extract(identity_json, '$.capture.viewport') AS v FROM artifacts WHERE json_valid(identity_json) AND json_type(identity_json) = 'OBJECT' AND json_type(identity_json, '$.capture.viewport') = 'OBJECT'), unnest(json_keys(v)) AS t(k)")
+def y03_flattened_settings(spark, base):
+    """The members of a nested object as dotted names with their values."""
+    a = table(spark, base, "artifacts").select("artifact_id", F.try_variant_get(F.try_parse_json("identity_json"), "$.capture.viewport", "map<string,string>").alias("m")).where("m IS NOT NULL")
+    return a.select("artifact_id", F.explode("m").alias("k", "value")).select("artifact_id", F.concat(F.lit("viewport."), "k").alias("name"), "value").distinct()
+
+
+@R.add(f"""WITH q AS (SELECT vec_id, embedding, sha256(CAST(label AS VARCHAR) || ':' || (vec_id % 5)) AS h FROM embeddings), probe AS (SELECT * FROM q WHERE vec_id = 7),
+x AS (SELECT min(q.vec_id) AS vec_id FROM q, probe WHERE q.h = probe.h AND q.vec_id <> 7), n AS (SELECT e.vec_id, round({COSINE}, 6) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT CASE WHEN (SELECT vec_id FROM x) IS NOT NULL THEN 'exact' ELSE 'near' END AS how, coalesce((SELECT vec_id FROM x), (SELECT vec_id FROM n WHERE s >= 0.1)) AS vec_id""")
+def r18_cache_lookup(spark, base):
+    """The stored entry with the same digest, else the nearest one above a threshold."""
+    e = table(spark, base, "embeddings").withColumn("h", F.sha2(F.concat_ws(":", "label", (F.col("vec_id") % 5)), 256))
+    probe = e.where("vec_id = 7").select("embedding", "h").first()
+    exact = e.where((F.col("h") == probe.h) & (F.col("vec_id") != 7)).agg(F.min("vec_id").alias("x"))
+    near = retrieval.nearest(e.where("vec_id <> 7"), "vec_id", "embedding", probe.embedding, 1).where("score >= 0.1").agg(F.min("vec_id").alias("n"))
+    both = exact.crossJoin(F.broadcast(near))  # a row each
+    return both.select(F.when(F.col("x").isNotNull(), "exact").otherwise("near").alias("how"), F.coalesce("x", "n").alias("vec_id"))
+
+
+@R.add("SELECT coalesce(a.column_name, b.column_name) AS name, CASE WHEN b.column_name IS NULL THEN 'missing' WHEN a.column_name IS NULL THEN 'extra' ELSE 'same' END AS state FROM (SELECT unnest(['s_suppkey', 's_name', 's_phone']) AS column_name) a FULL JOIN (SELECT unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) AS column_name) b USING (column_name)")
+def k10_schema_drift(spark, base):
+    """Wanted columns against those a table has."""
+    wanted = spark.createDataFrame([("s_suppkey",), ("s_name",), ("s_phone",)], "name string").withColumn("w", F.lit(True))
+    there = spark.createDataFrame([(c,) for c in table(spark, base, "supplier").columns], "name string").withColumn("t", F.lit(True))
+    state = F.when(F.col("t").isNull(), "missing").when(F.col("w").isNull(), "extra").otherwise("same")
+    return wanted.join(there, "name", "full").select("name", state.alias("state"))
+
+
+@R.add("SELECT doc_id, contains(text, 'snapshot') AS has_fact, contains(text, 'TODO') AS has_forbidden, CASE WHEN contains(text, 'snapshot') AND NOT contains(text, 'TODO') THEN 1.0 ELSE 0.0 END AS score FROM d", "d")
+def v06_prediction_score(spark, base):
+    """Texts scored by a fact they must hold and a claim they mustn't."""
+    fact, bad = F.col("text").contains("snapshot"), F.col("text").contains("TODO")
+    return docs(spark, base).select("doc_id", fact.alias("has_fact"), bad.alias("has_forbidden"), F.when(fact & ~bad, 1.0).otherwise(0.0).alias("score"))
+
+
+@R.add("SELECT root, path, id FROM (SELECT root, path, id, row_number() OVER (PARTITION BY root, path ORDER BY accessed_at DESC, id) AS r FROM (SELECT DISTINCT root, path, id, accessed_at FROM evidence)) WHERE r <= 2")
+def d07_scoped_eviction(spark, base):
+    """The two last used rows of each scoped key stay."""
+    e = table(spark, base, "evidence").select("root", "path", "id", "accessed_at").distinct()
+    return stats.top_per_group(e, ["root", "path"], [F.desc("accessed_at"), F.col("id")], 2).select("root", "path", "id")
+
+
+@R.add("SELECT event_id, greatest(1, least(200, user_id * 10)) AS page_limit, greatest(0, least(2048 - greatest(1, least(200, user_id * 10)), event_id)) AS page_offset FROM ev", "ev")
+def l08_page_clamps(spark, base):
+    """Limits held to 1 to 200, and limit + offset to 2048."""
+    limit = F.greatest(F.lit(1), F.least(F.lit(200), F.col("user_id") * 10))
+    return events(spark, base).select("event_id", limit.alias("page_limit"), F.greatest(F.lit(0), F.least(F.lit(2048) - limit, F.col("event_id"))).alias("page_offset"))
+
+
+@R.add()
+def k05_api_routes(spark, base):
+    """Decorated routes in Python texts."""
+    from sparkloom.functions import code
+
+    e = table(spark, base, "evidence").where("path LIKE '%.py'").select("id", "text").dropDuplicates(["id"])
+    return code.table_function(e, "id", "text", "method string, route string", code.routes)
+
+
+@R.add()
+def k08_diff_lines(spark, base):
+    """Changed lines of the unified diffs among the artifacts."""
+    from sparkloom.functions import code
+
+    a = table(spark, base, "artifacts").select("artifact_id", "text").dropDuplicates(["artifact_id"])
+    return code.table_function(a, "artifact_id", "text", "path string, hunk long, sign string, line long, content string", code.diff_lines)
+
+
 QUERIES, ORACLE = R.queries, R.sql
