@@ -227,11 +227,12 @@ def a35_count_of_groups(spark, base):
     return memory(spark, base).select("kind", "scope", "scope_id", "status").distinct().agg(n_of().alias("n"))
 
 
-@R.add("""SELECT scope, scope_id, kind, count(*) AS n, round(avg(confidence), 4) AS confidence, list_sort(list(record_id)) AS ids FROM mem GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND scope_id <> ''""", "mem")
+@R.add("""SELECT scope, scope_id, kind, count(*) AS n, CAST(sum(CAST(round(confidence * 1000) AS BIGINT)) AS BIGINT) AS confidence_milli, min(record_id) AS first_id, max(record_id) AS last_id FROM mem GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND scope_id <> ''""", "mem")
 def a37_compaction(spark, base):
-    """Groups of two or more records with their members (each id once, so as many as rows)."""
+    """Groups of two or more records; members are named by their first and last id, as a hot scope may hold any number."""
     g = memory(spark, base).where("scope_id <> ''").groupBy("scope", "scope_id", "kind")
-    return g.agg(n_of().alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"), F.sort_array(F.collect_list("record_id")).alias("ids")).where("n >= 2")
+    milli = F.sum(F.round(F.col("confidence") * 1000).cast("long"))
+    return g.agg(n_of().alias("n"), milli.alias("confidence_milli"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id")).where("n >= 2")
 
 
 @R.add("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 0 GROUP BY 1, 2 ORDER BY 4 DESC, 1, 2 LIMIT 20")
