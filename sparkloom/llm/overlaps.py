@@ -115,21 +115,23 @@ def overlaps(candidates: DataFrame, assignments: DataFrame, least: float = SIMIL
     A candidate is no pair with itself. Empty tables give an empty result; other columns aren't read.
     """
     texts, rows = members(candidates, assignments)
-    sides = rows.where(F.col("tid").isNotNull()).select("snapshot_id", "tid", "train").distinct()
+    # snapshots are carried as 64-bit digests; the names themselves are compared when the members are joined
+    rows = rows.withColumn("sid", F.xxhash64("snapshot_id"))
+    sides = rows.where(F.col("tid").isNotNull()).select("sid", "tid", "train").distinct()
     keyed = lookup(sides, _bands_of(texts), ["tid"], "inner")
-    keyed = keyed.select("snapshot_id", "tid", "train", F.posexplode("bands").alias("band", "h"))
-    keyed = durable(keyed.select(F.xxhash64("snapshot_id", "band", "h").alias("bucket"), "snapshot_id", "tid", "train"))
-    e = keyed.where("NOT train").select("bucket", "snapshot_id", F.col("tid").alias("tid_e"))
-    t = keyed.where("train").select("bucket", F.col("snapshot_id").alias("snapshot_t"), F.col("tid").alias("tid_t"))
-    met = spread_join(t, e, ["bucket"]).where("snapshot_id = snapshot_t").select("snapshot_id", "tid_e", "tid_t").distinct()
+    keyed = keyed.select("sid", "tid", "train", F.posexplode("bands").alias("band", "h"))
+    keyed = durable(keyed.select(F.xxhash64("sid", "band", "h").alias("bucket"), "sid", "tid", "train"))
+    e = keyed.where("NOT train").select("bucket", "sid", F.col("tid").alias("tid_e"))
+    t = keyed.where("train").select("bucket", F.col("sid").alias("sid_t"), F.col("tid").alias("tid_t"))
+    met = spread_join(t, e, ["bucket"]).where("sid = sid_t").select("sid", "tid_e", "tid_t").distinct()
     met = durable(met)
     pairs = met.where("tid_e <> tid_t").select("tid_e", "tid_t").distinct()
     pairs = lookup(pairs, texts.select(F.col("tid").alias("tid_e"), F.col("t").alias("e")), ["tid_e"], "inner")
     pairs = lookup(pairs, texts.select(F.col("tid").alias("tid_t"), "t"), ["tid_t"], "inner")
     near = durable(met.join(_verified(pairs, least).drop("similarity"), ["tid_e", "tid_t"]).unionByName(met.where("tid_e = tid_t")))
-    held = rows.where("NOT train").select("snapshot_id", F.col("candidate_id").alias("eval_id"), "split_name", "scope", F.col("tid").alias("tid_e"), "hash")
-    given = rows.where("train").select("snapshot_id", F.col("candidate_id").alias("train_id"), F.col("tid").alias("tid_t"), "hash")
-    by_state = spread_join(spread_join(near, held.drop("hash"), ["snapshot_id", "tid_e"]), given.drop("hash"), ["snapshot_id", "tid_t"])
-    by_hash = spread_join(given.drop("tid_t"), held.drop("tid_e"), ["snapshot_id", "hash"])
+    held = rows.where("NOT train").select("sid", "snapshot_id", F.col("candidate_id").alias("eval_id"), "split_name", "scope", F.col("tid").alias("tid_e"), "hash")
+    given = rows.where("train").select("sid", F.col("snapshot_id").alias("snapshot_t"), F.col("candidate_id").alias("train_id"), F.col("tid").alias("tid_t"), "hash")
+    by_state = spread_join(spread_join(near, held.drop("hash"), ["sid", "tid_e"]), given.drop("hash"), ["sid", "tid_t"])
+    by_hash = spread_join(given.drop("tid_t").where("hash IS NOT NULL"), held.drop("tid_e"), ["sid", "hash"])
     out = ["snapshot_id", "eval_id", "train_id", "split_name", "scope"]
-    return by_state.select(*out).unionByName(by_hash.select(*out)).where("eval_id <> train_id").distinct()
+    return by_state.where("snapshot_id = snapshot_t").select(*out).unionByName(by_hash.where("snapshot_id = snapshot_t").select(*out)).where("eval_id <> train_id").distinct()
