@@ -1,8 +1,8 @@
 """Texts that were cut off before their end.
 
-1. Near copies: five-word shingles, minwise bands, and in each bucket the longest text, which every shorter one is
-   aligned with; the pair counts if the shorter is similar to as much of the longer one's head. The copy whose alignment ends early, inside a word or
-   without a stop, is cut.
+1. Near copies: a text that ends early is aligned with every text that has the five words before its last one, and a
+   word that begins with the last one behind them; no pair that counts is left out. The pair counts if the shorter is
+   similar to as much of the longer one's head. The copy whose alignment ends early, inside a word or without a stop, is cut.
 2. All other texts are scored by how they close. Marks of a cut and torn characters decide at once. A text that ends
    neither in a stop nor in one of the forms its kind usually closes with is cut when its last line could be the
    beginning of a usual one, or when nearly all texts of its kind close in one form (a stop, say). Where forms say nothing the closing word does: a word
@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import minhash
 from sparkloom.plans.durable import durable
-from sparkloom.plans.skew import lookup
-
-SIZE, BANDS, ROWS, SIMILARITY = 5, 20, 4, 0.8
+from sparkloom.plans.skew import lookup, spread_join
+
+SIZE, SIMILARITY = 5, 0.8
+#: Characters of a word that the join of near copies looks at; the alignment looks at all.
+SHOWN = 16
+#: Keys in more places than this are first tried with their longest text; so many texts needed at once are marked by a broadcast.
+CROWD, FEW = 50, 100_000
+#: The filter before that join has 128 bits for each key, but no more than 2 to this power (32 MB): past that it lets more rows through to the join, which is exact.
+FILTER_BITS = 28
 #: A form belongs to a kind when it closes this share of its texts; a kind is regular when its forms close that share.
 FORM_SHARE, REGULAR_SHARE = 0.02, 0.8
 #: Kinds and closing phrases that hold less than one in so many texts aren't looked at; so there are fewer than this.
@@ -81,19 +88,36 @@ def closing(text: str) -> tuple[str, str, str, str]:
     return "open", form_of(body[body.rfind("\n") + 1 :]), last, phrase
 
 
+class _Hashes(dict):
+    """The 64-bit hash of each word asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _mixed(run: np.ndarray, h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        run = (run ^ h) * np.uint64(0x9E3779B97F4A7C15)
+    return run ^ (run >> np.uint64(32))
+
+
+def _runs(h: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The hashes of the runs of ``size`` words, in their order."""
+    run = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        run = _mixed(run, h[k : k + len(run)])
+    return run
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+
+
 def shingles(text: str) -> tuple[np.ndarray, int]:
-    """(distinct hashes of the runs of SIZE words, number of words)."""
+    """(distinct hashes of the runs of SIZE words, number of words); a shorter text is one run."""
     words = minhash.words_of(text)
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
-    if not len(h):
-        return h, 0
-    n = max(1, len(h) - SIZE + 1)
-    run = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(SIZE, len(h))):
-            run = (run ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            run ^= run >> np.uint64(32)
-    return np.unique(run), len(words)
+    return np.unique(_runs(_hashed(words), min(SIZE, len(words)))) if words else np.zeros(0, dtype=np.uint64), len(words)
 
 
 def head_similarity(short: str, long: str) -> float:
@@ -123,23 +147,102 @@ def ends_early(short: str, long: str) -> bool:
     return False
 
 
+def asked(text: str) -> tuple[list[int], str, int, int]:
+    """(keys, last, low, high): any text that ``text`` ends early in, and is similar to, has one of the keys at a place from
+    low to high with a word behind it that begins with ``last``; see ``_given``. No keys: there is no such text.
+
+    What ends early has its last words but one in the other. Up to SIZE words are one run and similar only to the same
+    ones. Where marks or compatible characters make more words than that of fewer, one of all the runs must be shared.
+    """
+    bare = ELLIPSIS.sub("", MARKS.sub("", plain(text)))
+    x = WORD.findall(bare.lower())
+    if not x or STOP.search(bare[-8:]):
+        return [], "", 0, 0
+    if len(x) > SIZE:
+        key = _mixed(_runs(_hashed(x[-SIZE - 1 : -1])), np.uint64(ord(x[-1][0])))
+        at, about = len(x) - 1 - SIZE, int(0.25 * len(x) + 5)
+        return key.view(np.int64).tolist(), x[-1][:SHOWN], at - about, at + about
+    return shingles(text)[0].view(np.int64).tolist(), "", 0, 0
+
+
 def _read(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             ends = [closing(t) for t in texts]
-            cols, n_words = [], []
-            for t in texts:
-                s, n = shingles(t)
-                cols.append(minhash.bands(s, BANDS, ROWS))
-                n_words.append(n)
+            keys = [asked(t) if e[0] != "complete" else ([], "", 0, 0) for t, e in zip(texts, ends)]
             verdict, form, last, phrase = zip(*ends) if ends else ((),) * 4
+            key, torn, low, high = zip(*keys) if keys else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), *(pa.array(c, pa.string()) for c in (verdict, form, last, phrase)), pa.array(cols, pa.list_(pa.int64())), pa.array(n_words, pa.int64())],
-                ["id", "kind", "source", "verdict", "form", "last", "phrase", "bands", "n_words"],
+                [b.column(0), b.column(2), b.column(3), b.column(4), *(pa.array(c, pa.string()) for c in (verdict, form, last, phrase)), pa.array(key, pa.list_(pa.int64())), pa.array(torn, pa.string()), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
+                ["id", "kind", "source", "tid", "verdict", "form", "last", "phrase", "keys", "torn", "low", "high"],
             )
 
-    return rows.mapInArrow(run, "id long, kind string, source string, verdict string, form string, last string, phrase string, bands array<long>, n_words long")
+    return rows.mapInArrow(run, "id long, kind string, source string, tid binary, verdict string, form string, last string, phrase string, keys array<long>, torn string, low int, high int")
+
+
+def _filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words): the bit at each key's first ``bits`` bits is set."""
+    bits = min(FILTER_BITS, max(16, (128 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    held = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))")).alias("x")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    words = np.zeros(2 ** (bits - 6), dtype=np.uint64)
+    words[held.column("w").to_numpy()] = held.column("x").to_numpy().view(np.uint64)
+    return bits, words
+
+
+def _given(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, other, at, next, n: the keys of each text that may be among ``keys``, the word at ``at`` + SIZE, the text's words.
+
+    A key is a run of SIZE words with the first character of the next one, a run alone (at 0), or fewer words that begin the text.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held = shared.value
+        seen = _Hashes()
+
+        def known(key: np.ndarray) -> np.ndarray:
+            slot = key >> np.uint64(64 - bits)
+            return np.flatnonzero((held[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            words = [WORD.findall(plain(t).lower()) for t in texts]
+            raw = [w if t.isascii() else minhash.words_of(t) for t, w in zip(texts, words)]
+            found: list[tuple[np.ndarray, ...]] = []
+            for each, begins in ((words, False), (raw, True)):
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                start = np.cumsum(n) - n
+                flat = list(chain.from_iterable(each))
+                h = np.fromiter(map(seen.__getitem__, flat), np.uint64, len(flat))
+                doc = np.repeat(np.arange(len(each)), n)
+                runs = _runs(h)
+                if not begins:
+                    whole = np.flatnonzero(doc[:-SIZE] == doc[SIZE:])
+                    key = _mixed(runs[whole], np.fromiter((ord(w[0]) for w in flat), np.uint64, len(flat))[whole + SIZE])
+                    k = known(key)
+                    at = whole[k]
+                    found.append((key[k], doc[at], at - start[doc[at]], np.array([flat[i + SIZE][:SHOWN] for i in at], object)))
+                    continue
+                whole = np.flatnonzero(doc[: len(runs)] == doc[SIZE - 1 :])
+                k = whole[known(runs[whole])]
+                parts = [(runs[k], doc[k])]
+                some, state = np.flatnonzero(n), np.zeros(len(each), np.uint64)
+                for size in range(1, SIZE):
+                    some = some[n[some] >= size]
+                    state[some] = _mixed(state[some], h[start[some] + size - 1])
+                    k = some[known(state[some])]
+                    parts.append((state[k], k))
+                for key, at in parts:
+                    found.append((key, at, np.zeros(len(key), np.int64), np.full(len(key), "", object)))
+            key, at, place, behind = (np.concatenate(c) for c in zip(*found))
+            lengths = np.fromiter(map(len, words), np.int64, len(words))[at]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(4).take(pa.array(at)), pa.array(place.astype(np.int32)), pa.array(behind, pa.string()), pa.array(lengths)], ["key", "other", "at", "next", "n"])
+            if len(seen) > 300_000:
+                seen.clear()
+
+    return rows.mapInArrow(run, "key long, other binary, at int, next string, n long").distinct()
 
 
 def _uses(rows: DataFrame) -> DataFrame:
@@ -168,22 +271,39 @@ def _uses(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, n long, n_final long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
 
 
-def _aligned(texts: DataFrame, read: DataFrame) -> DataFrame:
-    """id of the texts that a longer near copy shows to be cut. All keys are whole numbers, so sums are made by hash."""
-    each = read.select("id", "n_words", (F.col("verdict") != "complete").alias("open"), F.posexplode("bands").alias("band", "b"))
-    each = each.select("id", "n_words", "open", F.xxhash64("band", "b").alias("bucket"))
-    longest = each.groupBy("bucket").agg(F.max(F.struct("n_words", "id")).alias("x"), F.count(F.lit(1)).alias("k"), F.max("open").alias("any"))
-    longest = longest.where("k > 1 AND any").select("bucket", F.col("x.id").alias("other"), F.col("x.n_words").alias("most"))
-    met = durable(lookup(each.where("open").select("id", "n_words", "bucket"), longest, ["bucket"], "inner").where("id <> other AND most >= n_words").select("id", "other").distinct())
-    pairs = lookup(met, texts.select("id", "t"), ["id"], "inner")
-    pairs = lookup(pairs, texts.select(F.col("id").alias("other"), F.col("t").alias("u")), ["other"], "inner").select("id", "t", "u")
+def _shown(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """tid of the pairs (tid, other) in which the first text ends early in the other, to which it is similar."""
+    pairs = durable(pairs.select("tid", "other").distinct())
+    if pairs.isEmpty():
+        return pairs.select("tid")
+    needed = durable(pairs.select("tid").unionByName(pairs.select(F.col("other").alias("tid"))).distinct())
+    texts = rows.select("tid", "t")
+    texts = texts.join(F.broadcast(needed), "tid", "left_semi") if needed.count() <= FEW else lookup(texts, needed, ["tid"], "left_semi")
+    texts = durable(texts.dropDuplicates(["tid"]))
+    both = lookup(lookup(pairs, texts, ["tid"], "inner"), texts.select(F.col("tid").alias("other"), F.col("t").alias("u")), ["other"], "inner").select("tid", "t", "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [ends_early(t, u) and head_similarity(t, u) >= SIMILARITY for t, u in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0)], ["id"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["tid"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "id long").distinct()
+    return both.mapInArrow(run, "tid binary").distinct()
+
+
+def _aligned(rows: DataFrame, read: DataFrame) -> DataFrame:
+    """tid of the texts that a near copy shows to be cut. Equal texts are one.
+
+    Every text is aligned with all that have one of its keys. Where these are many the longest one comes first, so that
+    only what it doesn't show to be cut has to meet the others.
+    """
+    ends = read.where(F.size("keys") > 0).dropDuplicates(["tid"]).select("tid", "torn", "low", "high", F.explode("keys").alias("key"))
+    given = durable(_given(rows, ends.select("key").distinct()))
+    crowds = given.groupBy("key").agg(F.max(F.struct("n", "other")).alias("x"), F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD)
+    ends = durable(lookup(ends, crowds.select("key", F.col("x.other").alias("first")), ["key"]))
+    shown = durable(_shown(ends.where("tid <> first").select("tid", F.col("first").alias("other")), rows))
+    rest = ends.join(shown, "tid", "left_anti")
+    met = spread_join(given, rest, ["key"]).where("tid <> other AND NOT other <=> first AND at BETWEEN low AND high AND startswith(next, torn)")
+    return shown.unionByName(_shown(met, rows))
 
 
 def truncated(docs: DataFrame, key: str, text: str, kind: str, source: str) -> DataFrame:
@@ -193,7 +313,7 @@ def truncated(docs: DataFrame, key: str, text: str, kind: str, source: str) -> D
     kind or source is one of its own. Nothing is cut in an empty table.
     """
     t = F.col(f"`{text}`").cast("string")
-    rows = docs.where(F.length(t) > 0).select(F.col(f"`{key}`").cast("long").alias("id"), t.alias("t"), F.coalesce(F.col(f"`{kind}`").cast("string"), F.lit("")).alias("kind"), F.col(f"`{source}`").cast("string").alias("source"))
+    rows = docs.where(F.length(t) > 0).select(F.col(f"`{key}`").cast("long").alias("id"), t.alias("t"), F.coalesce(F.col(f"`{kind}`").cast("string"), F.lit("")).alias("kind"), F.col(f"`{source}`").cast("string").alias("source"), F.unhex(F.md5(t)).alias("tid"))
     read = durable(_read(rows))
     total = read.count()
     least = max(2, total // ONE_IN)
@@ -215,8 +335,8 @@ def truncated(docs: DataFrame, key: str, text: str, kind: str, source: str) -> D
     last = read.where("verdict = 'open'").select(F.col("last").alias("word")).distinct()
     heads = words.where("n >= 3").select(F.explode(F.expr("transform(sequence(1, least(length(word) - 1, 40)), i -> substring(word, 1, i))")).alias("word")).where("word <> ''").distinct().withColumn("head", F.lit(True))
     known = last.join(words, "word", "left").join(heads, "word", "left").select(F.col("word").alias("last"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_final", F.lit(0)).alias("n_final"), F.coalesce("head", F.lit(False)).alias("head"))
-    scored = lookup(read.drop("bands"), known, ["last"])
-    scored = lookup(scored, _aligned(rows, read).withColumn("copy", F.lit(True)), ["id"])
+    scored = lookup(read.drop("keys", "torn", "low", "high"), known, ["last"])
+    scored = lookup(scored, _aligned(rows, read).withColumn("copy", F.lit(True)), ["tid"])
     word = ~F.col("last").rlike(r"\d")  # numbers close anything
     never = word & (F.col("n") >= USES) & (F.col("n_final") < TERMINALITY * F.col("n"))
     torn = word & (F.col("n") <= 1) & F.col("head")

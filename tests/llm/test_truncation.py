@@ -48,3 +48,36 @@ def test_cut_and_whole(spark):
 @pytest.mark.parametrize("a, b, cut", [("one two thr", "one two three four.", True), ("one two", "one two three four.", True), ("one two.", "one two three.", False), ("one two three", "one two three", False), ("", "x", False), ("one two ...", "one two three", True), ("one two", "one two\nthree four", False), ("one two", "one two. three", True)])
 def test_ends_early(a, b, cut):
     assert T.ends_early(a, b) == cut
+
+
+def copies(spark, rows):
+    df = spark.createDataFrame([(i, t, "note", "s") for i, t in rows], "doc_id long, text string, doc_kind string, source string")
+    return {r.doc_id for r in T.truncated(df, "doc_id", "text", "doc_kind", "source").collect() if r.reason == "copy"}
+
+
+def test_cut_beside_longer_copies_that_go_on_otherwise(spark):
+    r = random.Random(3)
+    base = " ".join(sentence(r) for _ in range(12))
+    at = base.rindex(" after")
+    tail = " ".join(sentence(r) for _ in range(8))
+    rows = [(0, base[: at - 3]), (1, base), (2, base[: len(base) // 4].rstrip()[:-2])]  # 1 alone goes on behind 0; of 2, a quarter is left
+    rows += [(k, base[:at].rsplit(" ", 1)[0] + f" moved{k} after {k} retries. {tail}") for k in range(10, 14)]
+    assert copies(spark, rows) == {0, 2}
+
+
+@pytest.mark.parametrize("crowd", [0, 50])
+def test_copies_are_those_of_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(T, "CROWD", crowd)
+    r = random.Random(8)
+    texts = {"One", "One two", "One two three", "one two\nthree", "Caf\u00e9 au lait", "Cafe\u0301 au lait et", "Cut he [cut]", "Cut here [cut] and on", "a\u200bb c\u200bd", "a\u200bb c\u200bd e f"}
+    for _ in range(12):
+        words = [r.choice(NOUNS) for _ in range(r.choice([3, 5, 6, 8, 40]))]
+        for _ in range(30):
+            some = [w if r.random() > 0.03 else r.choice(NOUNS) for w in words] + [r.choice(NOUNS) for _ in range(r.choice([0, 0, 4, 60]))]
+            t = " ".join(some)
+            texts.add(t[: r.randint(2, len(t))] + r.choice(["", "", ".", " [cut]", "...", "\nend"]))
+    rows = list(enumerate(sorted(texts)))
+    open_ = [(i, t) for i, t in rows if T.closing(t)[0] != "complete"]
+    want = {i for i, t in open_ if any(t != u and T.ends_early(t, u) and T.head_similarity(t, u) >= T.SIMILARITY for _, u in rows)}
+    assert len(want) > 20
+    assert copies(spark, rows) == want
